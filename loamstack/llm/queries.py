@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, url_trie
+from . import chat, media, url_trie, warc
 from .common import table
 
 #: Fixed rules of the URL query: (host, path, action).
@@ -29,6 +29,15 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+def op4_media_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.inspect(media.store_as_samples(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+def op6_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.read_warc(warc.convert_to_warc(pages, "page_id", "url", "html")).withColumnRenamed("id", "page_id")
+
+
 def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -48,5 +57,10 @@ SELECT conv_id, participant, position, turn, speaker, rendered_role, segment, ch
        CASE WHEN speaker = participant THEN char_start + length(segment) - 1 END AS mask_end FROM w
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op5_chat_perspectives": op5_chat_perspectives}
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op4_media_samples": op4_media_samples,
+    "op5_chat_perspectives": op5_chat_perspectives,
+    "op6_warc_convert": op6_warc_convert,
+}
 SQL = {"op1_url_filter": OP1_SQL, "op5_chat_perspectives": OP5_SQL}
