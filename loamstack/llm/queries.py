@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, media, url_trie, warc
+from . import chat, langid, media, pii, url_trie, warc
 from .common import table
 
 #: Fixed rules of the URL query: (host, path, action).
@@ -29,6 +30,20 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+def _held_out():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, "doc_id", "text", "lang", ~_held_out())
+    return langid.identify(docs, model, "doc_id", "text").withColumn("held_out", F.coalesce(_held_out(), F.lit(False)))
+
+
+def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text").drop("redacted")
+
+
 def op4_media_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.inspect(media.store_as_samples(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
@@ -59,8 +74,10 @@ SELECT conv_id, participant, position, turn, speaker, rendered_role, segment, ch
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_language_mixture": op2_language_mixture,
     "op4_media_samples": op4_media_samples,
     "op5_chat_perspectives": op5_chat_perspectives,
     "op6_warc_convert": op6_warc_convert,
+    "op8_pii_boosting": op8_pii_boosting,
 }
 SQL = {"op1_url_filter": OP1_SQL, "op5_chat_perspectives": OP5_SQL}
