@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, pii, url_trie, warc
+from . import chat, decontaminate, langid, media, packing, pii, url_trie, warc
 from .common import table
 
 #: Fixed rules of the URL query: (host, path, action).
@@ -40,6 +40,21 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, "doc_id", "text").withColumn("held_out", F.coalesce(_held_out(), F.lit(False)))
 
 
+def tokenizer_path() -> str:
+    """Where the public vocabulary is on this machine; executors have it at the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
+
+
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
 def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text").drop("redacted")
 
@@ -78,6 +93,8 @@ QUERIES = {
     "op4_media_samples": op4_media_samples,
     "op5_chat_perspectives": op5_chat_perspectives,
     "op6_warc_convert": op6_warc_convert,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pii_boosting": op8_pii_boosting,
+    "op10_spaced_seeds": op10_spaced_seeds,
 }
 SQL = {"op1_url_filter": OP1_SQL, "op5_chat_perspectives": OP5_SQL}
