@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, media, packing, pii, url_trie, warc
+from . import chat, decontaminate, jaccard, langid, media, packing, pii, url_trie, warc
 from .common import table
 
 #: Fixed rules of the URL query: (host, path, action).
@@ -51,6 +51,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", jaccard.Rule(k=4, num=85, den=100))
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op6_warc_convert": op6_warc_convert,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pii_boosting": op8_pii_boosting,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
 SQL = {"op1_url_filter": OP1_SQL, "op5_chat_perspectives": OP5_SQL}
