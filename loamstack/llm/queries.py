@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, media, packing, pii, url_trie, warc
+from . import chat, decontaminate, jaccard, langid, media, packing, pii, repeats, url_trie, warc
 from .common import table
 
 #: Fixed rules of the URL query: (host, path, action).
@@ -63,6 +63,10 @@ def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text").drop("redacted")
 
 
+def op3_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", 400).drop("kept")
+
+
 def op4_media_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.inspect(media.store_as_samples(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
@@ -94,6 +98,7 @@ SELECT conv_id, participant, position, turn, speaker, rendered_role, segment, ch
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_mixture": op2_language_mixture,
+    "op3_longest_previous_factors": op3_longest_previous_factors,
     "op4_media_samples": op4_media_samples,
     "op5_chat_perspectives": op5_chat_perspectives,
     "op6_warc_convert": op6_warc_convert,
