@@ -117,7 +117,8 @@ def stretches(marked: np.ndarray, size: int) -> list[tuple[int, int]]:
 
 
 def _finer(step: int, size: int):
-    """Cut contexts into parts of `step` windows at places counted from the anchor. A part's key is the bytes that all of its windows share."""
+    """Cut contexts into parts of `step` windows at places counted from the anchor. A part's key is the bytes that all windows
+    of its cell share, which it holds even where its own run covers the cell in part."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
@@ -125,13 +126,12 @@ def _finer(step: int, size: int):
             for lo in range(0, b.num_rows, 64):
                 out = []
                 for key, kid, th, p, n, off, single, data in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns), strict=True):
-                    i = 0
-                    while i < n:
-                        m = min(n - i, step - (off + i) % step)
-                        part, core = data[i : i + m + size - 1], data[i + m - 1 : i + size]
-                        k = digest(core + key.to_bytes(8, "little", signed=True) + (off + i).to_bytes(4, "little", signed=True))
-                        out.append((k, digest(part + k.to_bytes(8, "little", signed=True)), kid, th, p + i, m, off + i, single, part))
-                        i += m
+                    for cell in range(off // step, (off + n - 1) // step + 1):
+                        whole = cell * step - off  # where the cell's first window would be; its run may begin later or end before
+                        i, j = max(0, whole), min(n, whole + step)
+                        core, part = data[whole + step - 1 : whole + size], data[i : j + size - 1]
+                        k = digest(core + key.to_bytes(8, "little", signed=True) + cell.to_bytes(4, "little", signed=True))
+                        out.append((k, digest(part + (i - whole).to_bytes(4, "little") + k.to_bytes(8, "little", signed=True)), kid, th, p + i, j - i, off + i, single, part))
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
                 names = ["gram", "ctx", "kid", "th", "p", "n", "off", "single", "data"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
