@@ -26,14 +26,24 @@ CACHE_WORDS, CACHE_LENGTH = 500_000, 40
 #: Rows that one ranking task orders, about.
 RANK_ROWS = 200_000
 _GAPS = re.compile(r"[ \t\n\r]+")
-#: Plain texts: ASCII and the letters of Latin-1. There, letter runs and all else are cut apart, as the vocabulary does.
-_NOT_PLAIN = re.compile(r"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]|<\||'")
-_RUNS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^ \t\n\ra-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Plain texts are ASCII and the letters of Latin-1, without apostrophes and what may be a special token. There, letter runs
+#: and all else are cut apart, as the vocabulary does.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_RUNS = re.compile(f"[{_LETTERS}]+|[^ \\t\\n\\r{_LETTERS}]+")
+_PLAIN_WORD = re.compile(f"[{_LETTERS}]+")
+_PLAIN_BYTES = bytes(b for b in range(256) if b < 128 or (b >= 0xC0 and b not in (0xD7, 0xF7))).replace(b"'", b"")
+
+
+def is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN_BYTES) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
 
 
 def cut_words(text: str) -> list[str]:
     """Parts of a text whose ids, one after another, are the text's ids."""
-    return _GAPS.split(text) if _NOT_PLAIN.search(text) else _RUNS.findall(text.lower())
+    return _RUNS.findall(text.lower()) if is_plain(text) else _GAPS.split(text)
 
 
 class WordIds:
@@ -42,22 +52,38 @@ class WordIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.encoder = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # the same model without normalisation: plain words are normal already, and are given in the model's byte alphabet
+        self.words_only = Tokenizer(self.encoder.model)
+        self.words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        vocabulary = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [cut_words(t) for t in texts]
         known = self.known
-        new = list(set().union(*split).difference(known))
-        extra = {}
-        for w, e in zip(new, self.encoder.encode_batch(new, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4").tobytes()
-            if len(known) < CACHE_WORDS and len(w) <= CACHE_LENGTH:
-                known[w] = ids
-            else:
-                extra[w] = ids
+        new = set().union(*split).difference(known)
+        extra: dict[str, bytes] = {}
+        plain = [w for w in new if _PLAIN_WORD.fullmatch(w)]
+        if plain:  # as one text: such a word is one unit of the vocabulary, whose last id, and no other, ends a word
+            joined = " ".join(plain).translate(self.alphabet)
+            ids = np.array(self.words_only.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            extra = {w: raw[x:y] for w, x, y in zip(plain, [0, *cuts[:-1]], cuts, strict=True)}
+        other = list(new.difference(extra))
+        for w, e in zip(other, self.encoder.encode_batch(other, add_special_tokens=False), strict=True):
+            extra[w] = np.array(e.ids, "<u4").tobytes()
+        for w in extra if len(known) < CACHE_WORDS else ():
+            if len(w) <= CACHE_LENGTH:
+                known[w] = extra[w]
+        extra = {w: i for w, i in extra.items() if w not in known}
         if not extra:
             return [b"".join(map(known.__getitem__, words)) for words in split]
         return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in split]
