@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
@@ -60,7 +61,10 @@ class WordIds:
         self.words_only = Tokenizer(self.encoder.model)
         self.words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.alphabet = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        shown = {}  # bytes of the letters at hand in the model's byte alphabet
+        for c in [" ", *map(chr, range(97, 123)), *map(chr, range(0xDF, 0x100))]:
+            shown |= dict(zip(c.encode(), letters.pre_tokenize_str(c)[0][0], strict=True))
+        self.alphabet = "".join(" " if b == 32 else shown.get(b, "\ufffe") for b in range(256))
         vocabulary = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -72,7 +76,7 @@ class WordIds:
         extra: dict[str, bytes] = {}
         plain = [w for w in new if _PLAIN_WORD.fullmatch(w)]
         if plain:  # as one text: such a word is one unit of the vocabulary, whose last id, and no other, ends a word
-            joined = " ".join(plain).translate(self.alphabet)
+            joined = codecs.charmap_decode(" ".join(plain).encode(), "strict", self.alphabet)[0]
             ids = np.array(self.words_only.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw = ids.tobytes()
