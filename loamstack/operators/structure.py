@@ -108,7 +108,7 @@ def formula_regions(lines: DataFrame) -> DataFrame:
     whole = Window.partitionBy("doc_id", "page", "island")
     done = F.coalesce(F.sum(F.col("_e").cast("int")).over(w), F.lit(0))
     total = F.sum(F.col("_e").cast("int")).over(whole)
-    x = x.withColumn("_k", F.least(done, F.greatest(total - 1, F.lit(0)))).filter(total > 0)
+    x = x.withColumn("_k", F.least(done, F.greatest(total - 1, F.lit(0)))).withColumn("_n", total).filter("_n > 0")
     s = F.sort_array(F.collect_list(F.struct("seq", "text")))
     return x.groupBy("doc_id", "page", "island", "_k").agg(F.min("seq").alias("seq"), F.array_join(s["text"], " ").alias("text")).select("doc_id", "page", "seq", "text", X.first_group("text", V.EQUATION).alias("num"))
 
