@@ -14,11 +14,11 @@ from .bytehash import BASE, BYTE, U, in_pieces, mix
 from .common import id_bitmap, in_bitmap, materialise
 
 #: Windows that one suffix sort takes, about; contexts of one anchor beyond which they are dealt out by finer anchors.
-SORT_WINDOWS, HOT = 40_000, 500
+SORT_WINDOWS, HOT = 20_000, 300
 #: Windows of a finer context, at each level; the last has one, so all equal contexts are one class there.
 STEPS = (8, 1)
 #: Bytes handled at once; longer texts are taken in overlapping parts.
-PART = 1 << 19
+PART = 1 << 18
 _INDEX = U((1 << 23) - 1)
 
 
@@ -152,7 +152,7 @@ def _sort_blocks(rows: DataFrame, size: int, keep_first: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["kid", "th", "s", "e"])
 
         group, windows, now = [], 0, None
-        for b in batches:
+        for b in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if row[0] != now and windows >= SORT_WINDOWS:
                     yield close(group)
@@ -195,7 +195,7 @@ def find_repeats(df: DataFrame, id_col: str, text_col: str, size: int, keep_firs
     src = _keyed(df, id_col, text_col).select("kid", "th", "raw").filter(F.length("raw") >= size)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
             for text, p, n, off, gram, ctx in anchor_runs(b.column(2).to_pylist(), size):
                 at = pa.array(text)
                 cols = [pa.array(gram), pa.array(ctx), b.column(0).take(at), b.column(1).take(at), pa.array(p), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32))]
