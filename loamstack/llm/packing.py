@@ -26,6 +26,8 @@ MAX_SLOTS = 1_000_000
 CACHE_WORDS, CACHE_LENGTH = 500_000, 40
 #: Rows that one ranking task orders, about.
 RANK_ROWS = 200_000
+#: More than any rank; a length and a rank make one number.
+RANKS = 1 << 50
 _GAPS = re.compile(r"[ \t\n\r]+")
 #: Plain texts are ASCII and the letters of Latin-1, without apostrophes and what may be a special token. There, letter runs
 #: and all else are cut apart, as the vocabulary does.
@@ -219,17 +221,17 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     for i, block in enumerate(blocks):
         rows = p
         if len(blocks) > 1:  # ranges of (length, rank), each with its own slots
-            key = F.struct("length", "_rank")
-            low, high = (F.struct(F.lit(int(b[0, 0])), F.lit(int(b[0, 1]))) for b in (block, blocks[(i + 1) % len(blocks)]))
+            key = F.col("length") * RANKS + F.col("_rank")
+            low, high = (F.lit(int(b[0, 0]) * RANKS + int(b[0, 1])).cast("long") for b in (block, blocks[(i + 1) % len(blocks)]))
             rows = rows.filter(key >= low) if i + 1 == len(blocks) else rows.filter((key >= low) & (key < high))
         shared = spark.sparkContext.broadcast(block)
 
         def place(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             s = shared.value
-            key = s[:, 0] * (1 << 50) + s[:, 1]
+            key = s[:, 0] * RANKS + s[:, 1]
             for b in batches:
                 length, rank = b.column(at_length).to_numpy(), b.column(at_rank).to_numpy()
-                hit = s[np.searchsorted(key, length * (1 << 50) + rank, side="right") - 1]
+                hit = s[np.searchsorted(key, length * RANKS + rank, side="right") - 1]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hit[:, 3] + rank - hit[:, 1]), pa.array(hit[:, 4])], names=names)
 
         parts.append(rows.mapInArrow(place, fields))

@@ -1,0 +1,331 @@
+"""Training-data operators: brute force on small tables, round trips, held-out accuracy, and rows with nulls, ties, empty and long texts."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from loamstack.llm import bytehash, chat, decontaminate, jaccard, langid, media, packing, pii, queries, repeats, url_trie, warc
+from oracle import compare
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+
+#: Nulls, empty and long texts, ties, repeated rows, and a column that clashes with results.
+ODD = [(1, None, None), (2, "", "x"), (3, "a b c", "x"), (4, "a b c", None), (4, "a b c", None), (None, "a b c", "x"), (5, "word " * 30000, "x"), (6, "É日本 !! 123 'll <|endoftext|>", "x")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, "doc_id long, text string, lang string").withColumn("score", F.lit(1)).withColumn("key", F.lit("k"))
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_like_sql(spark, name):
+    compare(spark, queries.QUERIES[name], queries.SQL[name], SF)
+
+
+def test_urls(spark):
+    rules = [("b.net", "/", "block"), ("net", "/a/", "allow"), ("net", "/a/b", "block"), ("b.net", "/a/x/", "allow")]
+    trie = url_trie.UrlTrie(rules)
+    ask = lambda u: (trie.match(*url_trie.split_url(u)) or (None, None))[0]
+    assert [ask(u) for u in ("http://b.net/a/", "http://x.B.net/q", "http://c.net/a/bc", "http://c.net/a/c", "http://b.net/a/x/1", "http://xb.net/", "http://b.net", None, "b.net/")] == ["b.net/", "b.net/", "net/a/b", "net/a/", "b.net/a/x/", None, None, None, None]
+    d = spark.createDataFrame([(1, None), (1, "http://b.net/#/a"), (None, "")], "page_id long, url string").withColumn("host", F.lit("x"))
+    assert sorted(str(r["rule"]) for r in url_trie.filter_urls(d, rules, "page_id", "url").collect()) == ["None", "None", "b.net/"]
+    assert url_trie.filter_urls(d.limit(0), rules, "page_id", "url").count() == 0
+
+
+def test_chat_masks(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "ann", "hello"), (1, 2, "bob", None), (1, 2, "bob", None), (None, 1, None, "x"), (2, 1, "system", "only")]
+    got = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit(1))).collect()
+    assert {(r["conv_id"], r["participant"]) for r in got} == {(1, "ann"), (1, "bob"), (None, "unknown")}
+    for key in {(r["conv_id"], r["participant"]) for r in got}:
+        mine = sorted((r for r in got if (r["conv_id"], r["participant"]) == key), key=lambda r: r["position"])
+        whole = "".join(r["segment"] for r in mine)
+        assert [r["position"] for r in mine] == list(range(len(mine)))
+        for r in mine:
+            assert whole[r["char_start"] : r["char_end"]] == r["segment"]
+            if r["mask_start"] is not None:
+                assert whole[r["mask_start"] : r["mask_end"]].endswith("<|end|>") and r["speaker"] == r["participant"]
+
+
+def test_language(spark, docs, odd, texts):
+    got = {r["doc_id"]: r for r in queries.op2_language_mixture(spark, SF).collect()}
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    held = [i for i in lang if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert {i for i, r in got.items() if r["held_out"]} == set(held)
+    assert np.mean([got[i]["lang_pred"] == lang[i] for i in held]) > 0.95
+    model = langid.fit(docs, "doc_id", "text", "lang", F.lit(True))
+    mixed = model.predict(next(t for i, t in texts.items() if lang[i] == "de" and len(t) > 1500) + " " + next(t for i, t in texts.items() if lang[i] == "fr" and len(t) > 1500))
+    assert {x.split(":")[0] for x in mixed[2].split(",")} == {"de", "fr"}
+    rows = langid.identify(odd, model, "doc_id", "text").collect()
+    assert len(rows) == len(ODD) and [r["lang_pred"] for r in rows if r["doc_id"] in (1, 2)] == ["und", "und"]
+    assert langid.fit(docs.limit(0), "doc_id", "text", "lang", F.lit(True)).predict("abc")[0] == "und"
+
+
+def covered(all_texts, size):
+    seen, out = {}, {}
+    for _, t in all_texts:
+        for p in range(len(t) - size + 1):
+            seen[t[p : p + size]] = seen.get(t[p : p + size], 0) + 1
+    for n, (i, t) in enumerate(all_texts):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - size + 1):
+            if seen[t[p : p + size]] > 1:
+                gone[p : p + size] = True
+        out[n] = (i, len(t), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest())
+    return sorted(out.values(), key=str)
+
+
+@pytest.mark.parametrize("hot", [300, 1])
+def test_repeats(spark, odd, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    r = random.Random(5)
+    say = lambda n: "".join(r.choice("abcd é") for _ in range(n))
+    shared, period = say(90), "xyz" * 40
+    rows = [(i, (say(r.randint(0, 200)) + (shared[: r.randint(30, 90)] if i % 2 else "") + (period if i % 7 == 0 else "") + say(r.randint(0, 60)))) for i in range(40)] + [(40, None), (41, ""), (41, shared), (41, shared), (None, shared)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)), "doc_id", "text", 40).collect()
+    assert sorted(((x["doc_id"], x["n_bytes"], x["n_removed"], x["kept_sha256"]) for x in got), key=str) == covered([(i, (t or "").encode()) for i, t in rows], 40)
+    if hot == 1:
+        assert repeats.remove_repeats(odd.limit(0), "doc_id", "text", 40).count() == 0
+
+
+def test_repeats_keep_first(spark):
+    rows = [(1, "q" * 5 + "hello world, this is said twice"), (2, "z" * 7 + "hello world, this is said twice" + "z")]
+    got = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 20, keep_first=True).collect()}
+    assert got == {1: rows[0][1].encode(), 2: b"zzzzzzzz"}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.binary(max_size=300))
+def test_samples_round_trip(raw):
+    payload = media.pad(raw)
+    assert len(payload) % 64 == 0 and payload and payload[: len(raw)] == raw
+    wav = media.to_wav(payload)
+    start, n, end = media.wav_data(wav)
+    assert (wav[start : start + n], end) == (payload, len(wav))
+
+
+def test_sniffing(spark, odd):
+    import gzip
+
+    a = media.automaton()
+    gz = gzip.compress(b"hello")
+    inner = b"..BM....GIF89a" + gz + b"tail" + media.to_wav(b"ab")
+    found = media.sniff(media.to_wav(media.pad(inner)), a)
+    assert [k for _, _, k in found] == ["audio/wav", "application/gzip", "audio/wav"]
+    assert found[1][1] - found[1][0] == len(gz)
+    assert media.sniff(media.to_wav(b"abcd")[:-3], a) == []
+    rows = {(r["doc_id"], r["n_bytes"]): r for r in media.inspect(media.store_as_samples(odd, "doc_id", "text"), "doc_id").collect()}
+    assert rows[1, 0]["payload_bytes"] == 64 == rows[2, 0]["payload_bytes"] and rows[1, 0]["media_type"] == "audio/wav"
+    assert rows[3, 5]["payload_sha256"] == hashlib.sha256(media.pad(b"a b c")).hexdigest() and rows[3, 5]["tail_crc32"] == zlib.crc32(media.pad(b"a b c"))
+
+
+def test_warc(spark):
+    rows = [(1, "http://a b/\n", "x"), (2, None, "x"), (3, "filedesc://q", None), (4, "u", ""), (None, "u", "x"), (5, "u", "é" * 5000), (6, "u", "one")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    got = {r["id"]: r for r in warc.read_warc(warc.convert_to_warc(d, "page_id", "url", "html")).collect()}
+    kind = {i: (r["record_type"], r["refers_to"]) for i, r in got.items()}
+    assert kind == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), None: ("revisit", 2), 5: ("response", None), 6: ("response", None)}
+    assert got[1]["payload_digest"] == warc.digest_of(b"x") and got[5]["payload_bytes"] == 10000
+    assert warc.read_warc(warc.convert_to_warc(d.limit(0), "page_id", "url", "html")).count() == 0
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(warc.arc_file("2", [("u", b"abc")])[:-3]))
+    for version in ("1", "2"):
+        assert [(f["URL"], c) for f, c in warc.parse_arc(warc.arc_file(version, [("http://a b", b"x\n\ny"), ("u", b"")]))] == [("http://a b", b"x\n\ny"), ("u", b"")]
+
+
+def base_brute(x):
+    out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
+    out += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(q) <= 255 for q in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", x):
+        d = re.sub("[ -]", "", m[0])
+        out += [(m.start(), m.end(), "card")] if 12 <= len(d) <= 19 and pii.luhn(d) else []
+    out += [(m.start(), m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", x) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab.@-_+ 0123456789()é\n", max_size=60))
+def test_base_spans(x):
+    assert pii.base_spans(x) == base_brute(x)
+
+
+def test_pii(spark, odd):
+    trees, cuts = pii.model()
+    given_texts = ["call me: (555) 123-4567 now", "write jane [at] mail [dot] org please", "card 4111.1111.1111.1111 ok", "on 2024-01-02 at 10:20:30.123", "order 12345678 of 10 pages", "x +1 (663) 555-6869 y"]
+    got = list(pii.all_spans(given_texts, trees, cuts))
+    assert [{k for _, _, k in spans} for _, spans in got] == [{"phone"}, {"email"}, {"card"}, set(), set(), {"phone"}]
+    assert pii.redact(given_texts[5], got[5][1]) == "x [PHONE] y"
+    rows = pii.find_pii(odd, "doc_id", "text").collect()
+    assert len(rows) == len(ODD) and {r["base_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}
+    assert [r["redacted"] for r in rows if r["doc_id"] == 1] == [None]
+
+
+def brute_components(pairs, rule):
+    sets = {}
+    for i, t in pairs:
+        w = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j : j + rule.k]) for j in range(len(w) - rule.k + 1)} if len(w) >= rule.k else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both = len(sets[i] & sets[j])
+            if both and rule.den * both >= rule.num * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: (len(sets[i]), top(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("rule", "tile"), [(jaccard.Rule(4, 85, 100), 24 << 20), (jaccard.Rule(3, 1, 2), 2000)])
+def test_jaccard(spark, texts, monkeypatch, rule, tile):
+    monkeypatch.setattr(jaccard, "TILE_BYTES", tile)
+    r = random.Random(2)
+    rows = list(texts.items())[:60]
+    base = "the quick brown fox jumps over the lazy dog and then sleeps under a tree near the old stone bridge by the river while it rains".split()
+    for i in range(1000, 1060):
+        w = base * 2
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = r.choice("abcdefgh")
+        rows.append((i, " ".join(w)))
+    rows += [(2000, None), (2001, ""), (2002, " \t"), (2003, "A b"), (2004, "a B"), (2005, "a b c")]
+    want = brute_components(rows, rule)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)), "doc_id", "text", rule).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
+
+
+def test_jaccard_odd(spark, odd):
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(odd, "doc_id", "text").collect()), key=str)
+    assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (4, 1, 3), (None, 1, None), (5, 1, 5), (6, 1, 6)], key=str)
+    assert jaccard.near_duplicates(odd.limit(0), "doc_id", "text").count() == 0
+
+
+def test_count_tree_loses_nothing():
+    r = np.random.default_rng(1)
+    rule = jaccard.Rule(4, 3, 5)
+    common = r.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(r.choice(common, r.integers(1, 280))) for _ in range(300)]
+    linked = lambda i, j: rule.linked(jaccard.overlap(sets[i], sets[j]), len(sets[i]), len(sets[j]))
+    root = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if linked(i, j):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    got = list(range(300))
+    for i, j in jaccard.spanning_links(sets, rule):
+        assert linked(i, j)
+        a, b = got[i], got[j]
+        got = [min(a, b) if x in (a, b) else x for x in got]
+    assert got == root
+
+
+def test_word_ids(texts):
+    words = packing.WordIds(queries.tokenizer_path())
+    all_texts = [*texts.values(), "Hello  World's <|endoftext|> é ２３\tab12,!!? don't'LL 日本  x\x1cy\x85ź á ΣΑΣ İ", "", "  ", "ÀÉ×ßÿ a1B2;;c_d-e", "x ªb µm", "A_b\x0c12é"]
+    want = words.encoder.encode_batch(all_texts, add_special_tokens=False)
+    assert words.of(all_texts) == [np.array(e.ids, "<u4").tobytes() for e in want]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), min_size=1, max_size=25))
+def test_plan_packs_everything(histogram):
+    plan = packing.Plan(histogram, 60)
+    bins, placed = {}, {}
+    for length, first, count, seq, offset in plan.slots:
+        placed.setdefault(length, []).extend(range(first, first + count))
+        for s in range(seq, seq + count):
+            bins.setdefault(s, []).append((offset, length))
+    assert {k: sorted(v) for k, v in placed.items()} == {k: list(range(n)) for k, n in histogram.items()}
+    for items in bins.values():
+        at = 0
+        for offset, length in sorted(items):
+            assert offset == at
+            at += length
+        assert at <= 60
+    total = sum(k * n for k, n in histogram.items())
+    assert -(-total // 60) <= len(bins) == plan.sequences <= 1.25 * total / 60 + 1 + sum(n for k, n in histogram.items() if k > 30)
+
+
+def test_packing(spark, odd, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_SLOTS", 3)  # several broadcast blocks
+    got = packing.pack_documents(odd, "doc_id", "text", queries.tokenizer_path()).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] == 5) == 30001 and sum(r["length"] for r in got if r["doc_id"] in (1, 2)) == 2
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0) and r["length"] <= 4096
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 4096 and len(got) == len(ODD) + 7
+    assert packing.pack_documents(odd.limit(0), "doc_id", "text", queries.tokenizer_path()).count() == 0
+
+
+def test_overlaps_with_substitutions(spark, texts, odd):
+    bench = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    item = max(bench, key=lambda i: len(bench[i].split()))
+    words = bench[item].split()
+    for p in (4, 11, 17, 25, 33):
+        words[p] = "zzz"
+    rows = [(1, texts[0] + " " + " ".join(words).upper()), (2, " ".join(words[:7])), (3, None), (4, bench[item]), (4, bench[item]), (5, texts[0])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(1))
+    items = spark.createDataFrame([*bench.items(), (900, None), (901, "two words"), (902, "exactly six words are said here")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["words"] - r["same_words"]) for r in decontaminate.find_overlaps(d, items, "doc_id", "text", "item_id", "text").collect())
+    clean = {(5, i) for i in bench if " ".join(bench[i].split()) in " ".join(texts[0].split())}
+    assert [x for x in got if x[0] != 5 and x[1] == item] == [(1, item, 5), (4, item, 0), (4, item, 0)]
+    assert {x[:2] for x in got if x[0] == 5} == clean and not [x for x in got if x[0] in (2, 3)]
+    assert decontaminate.find_overlaps(odd, items.limit(0), "doc_id", "text", "item_id", "text").count() == 0
+
+
+def test_overlaps_like_brute_force(spark, texts):
+    bench = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    norm = lambda x: f" {' '.join(re.findall(r'[0-9a-z' + chr(128) + '-' + chr(0x10FFFF) + ']+', x.lower()))} "
+    want = {(d, i) for d, t in texts.items() for i, b in bench.items() if norm(b) in norm(t)}
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op10_spaced_seeds(spark, SF).collect()}
+    assert want and want <= got
+
+
+def test_word_hashes_match_words():
+    raw = [b"Ab  c\tAb", b"", b" x\n", "é ab".encode()]
+    h, at = bytehash.word_hashes(raw, bytehash.SPACE)
+    assert at.tolist() == [0, 3, 3, 4, 6] and h[0] == h[2] == h[5] and len(set(h.tolist())) == 4
+
+
+def test_pipeline(spark, docs):
+    """Each stage against brute force on its own input; ends with packed sequences."""
+    stages = dict(corpus_pipeline.STAGES)
+    d = docs.limit(120).unionByName(spark.createDataFrame([(9000, None, "en", "s", 0), (9001, "123 !!", "en", "s", 6)], docs.schema))
+    kept = stages["language"](spark, d, SF)
+    assert kept.columns == docs.columns and {9000, 9001}.isdisjoint(r["doc_id"] for r in kept.select("doc_id").collect())
+    pairs = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(pairs) >= 118
+    near = brute_components(pairs, corpus_pipeline.NEAR)
+    unique = stages["near_duplicates"](spark, kept, SF)
+    assert {r["doc_id"] for r in unique.select("doc_id").collect()} == {i for i, (_, c) in near.items() if i == c} and unique.columns == docs.columns
+    clean = stages["benchmark_overlaps"](spark, unique, SF)
+    assert clean.columns == docs.columns and clean.count() <= unique.count()
+    safe = stages["personal_data"](spark, clean, SF)
+    assert safe.count() == clean.count() and safe.columns == docs.columns and not [r for r in safe.collect() if pii.base_spans(r["text"] or "")]
+    assert stages["packing"](spark, safe, SF).select("doc_id").distinct().count() == safe.count()
