@@ -24,6 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows and bytes of one batch between the JVM and Python. Texts are long; Spark's default of 10,000 rows takes both sides
+#: hundreds of MB.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table; from now on the session hands Python batches of bounded size."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it again, which cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import PUNCT, in_pieces, mix, word_hashes
+from .common import small_batches
 
 #: Fixed masks: a 1 is a word that must agree, a 0 one that may differ.
 MASKS = ("11111111", "1101101110101", "1110010111011", "101110110011011")
@@ -123,7 +124,7 @@ def find_overlaps(df: DataFrame, items: DataFrame, id_col: str, text_col: str, i
     sized = items.select(F.col(item_id).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     total = sized.agg(F.coalesce(F.sum(F.length("t") / 2), F.lit(0.0))).first()[0]
     blocks = max(1, int(-(-total // BLOCK_WORDS)))
-    src = df.select(df[id_col], df[text_col])
+    src = small_batches(df).select(df[id_col], df[text_col])
     out = None
     for k in range(blocks):
         part = sized if blocks == 1 else sized.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)

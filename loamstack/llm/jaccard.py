@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import BASE, SPACE, U, in_pieces, mix, shingles, word_hashes
-from .common import components, id_bitmap, in_bitmap, materialise
+from .common import components, id_bitmap, in_bitmap, materialise, small_batches
 
 #: Coordinates of a count vector, members of a leaf and children of a node of the R-tree.
 GROUPS, LEAF, FAN = 16, 16, 16
@@ -130,7 +130,7 @@ def spanning_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
 def _sketches(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
     """For each row: set size, class key (equal sets, equal keys), prefix length, watched shingles and, where they are fewer than
     the prefix, further shingles in hash order."""
-    src = df.select(df[id_col].cast("long"), df[text_col])
+    src = small_batches(df).select(df[id_col].cast("long"), df[text_col])
     watched = U(rule.watched)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

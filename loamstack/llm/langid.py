@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Hashed trigram buckets of a model.
 BUCKETS = 1 << 15
 #: Documents that a model is fitted on at most (a random sample by hashed id, of the rows allowed for training).
@@ -109,7 +111,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, allowed: Colum
 
     Without any such row the model has no language but `und`, of even likelihood.
     """
-    rows = df.filter(allowed & F.col(lang_col).isNotNull())
+    rows = small_batches(df).filter(allowed & F.col(lang_col).isNotNull())
     n = rows.select(id_col).count()
     share = min(1.0, sample_docs / n) if n else 1.0
     if share < 1:
@@ -148,7 +150,7 @@ def identify(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFra
     null; extra columns are not read; an empty table gives an empty result.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    src = df.select(df[id_col], df[text_col])
+    src = small_batches(df).select(df[id_col], df[text_col])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Fixed values of public formats: magic bytes and the type they announce.
 SIGNATURES = [
     (b"RIFF", "riff"), (b"\x89PNG\r\n\x1a\n", "image/png"), (b"GIF87a", "image/gif"), (b"GIF89a", "image/gif"), (b"\xff\xd8\xff", "image/jpeg"),
@@ -208,7 +210,7 @@ def store_as_samples(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     A null or empty text is 64 zeros. The declared type is the generic one; sniffing corrects it. Each row is by
     itself: repeated rows, null ids and extra columns change nothing.
     """
-    src = df.select(df[id_col], F.coalesce(df[text_col], F.lit("")).cast("binary"))
+    src = small_batches(df).select(df[id_col], F.coalesce(df[text_col], F.lit("")).cast("binary"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import in_pieces
-from .common import materialise
+from .common import materialise, small_batches
 
 CAPACITY = 4096
 #: Id that ends every document.
@@ -97,7 +97,7 @@ class WordIds:
 
 def cut_into_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of each document's ids and the end id; only documents beyond the capacity are cut."""
-    src = df.select(df[id_col], df[text_col])
+    src = small_batches(df).select(df[id_col], df[text_col])
     step = 4 * capacity
     end = np.array([END_ID], "<u4").tobytes()
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .boosting import BoostedTrees
+from .common import small_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -222,7 +223,7 @@ def find_pii(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows, null ids, extra columns and empty tables need nothing special.
     """
     shared = df.sparkSession.sparkContext.broadcast(model())
-    src = df.select(df[id_col], df[text_col])
+    src = small_batches(df).select(df[id_col], df[text_col])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, cuts = shared.value

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import BASE, BYTE, U, in_pieces, mix
-from .common import id_bitmap, in_bitmap, materialise
+from .common import id_bitmap, in_bitmap, materialise, small_batches
 
 #: Windows that one suffix sort takes, about; contexts of one anchor beyond which they are dealt out by finer anchors.
 SORT_WINDOWS, HOT = 20_000, 300
@@ -235,7 +235,7 @@ def find_repeats(df: DataFrame, id_col: str, text_col: str, size: int, keep_firs
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(df[text_col], F.lit(""))
-    return df.select(df[id_col].alias("id"), F.coalesce(df[id_col].cast("long"), F.lit(-(2**63))).alias("kid"), F.xxhash64(text).alias("th"), text.cast("binary").alias("raw"))
+    return small_batches(df).select(df[id_col].alias("id"), F.coalesce(df[id_col].cast("long"), F.lit(-(2**63))).alias("kid"), F.xxhash64(text).alias("th"), text.cast("binary").alias("raw"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

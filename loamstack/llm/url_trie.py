@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Most rules that one broadcast trie may hold, about 300 MB of Python objects on an executor.
 MAX_RULES = 1_000_000
 
@@ -84,7 +86,7 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str, u
     result. Other columns, whatever their names, are not read.
     """
     trie = df.sparkSession.sparkContext.broadcast(UrlTrie(rules))
-    src = df.select(df[id_col], df[url_col])
+    src = small_batches(df).select(df[id_col], df[url_col])
     kind = src.schema[0].dataType
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

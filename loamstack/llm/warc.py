@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bitmap, in_bitmap, materialise
+from .common import id_bitmap, in_bitmap, materialise, small_batches
 
 #: Bytes of payload after which an archive is closed and a new one begun.
 ARCHIVE_BYTES = 4 << 20
@@ -118,7 +118,7 @@ def convert_to_warc(df: DataFrame, id_col: str, url_col: str, body_col: str) ->
     payloads: that with the largest id is a response, the others revisit it; rows that share that largest id are all
     responses. A null body is empty, a null url is empty, a null id counts as smaller than any and is kept null.
     """
-    src = df.select(df[id_col].cast("long").alias("id"), F.coalesce(df[url_col], F.lit("")).alias("url"), F.coalesce(df[body_col], F.lit("")).cast("binary").alias("body"))
+    src = small_batches(df).select(df[id_col].cast("long").alias("id"), F.coalesce(df[url_col], F.lit("")).alias("url"), F.coalesce(df[body_col], F.lit("")).cast("binary").alias("body"))
     src = src.withColumn("digest", F.sha1("body"))
     same = src.groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("d"), "last")
     same = materialise(same, "equal-payloads")
