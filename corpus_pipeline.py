@@ -11,8 +11,6 @@ from loamstack.llm import decontaminate, jaccard, langid, packing, pii
 from loamstack.llm.common import id_bitmap, in_bitmap, materialise, table
 from loamstack.llm.queries import tokenizer_path
 
-#: A document stays if its main language has at least this share of its trigrams.
-LEAST_SHARE = 0.5
 #: Near duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
 NEAR = jaccard.Rule(k=5, num=4, den=5)
 
@@ -25,12 +23,12 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with letters whose main language, by mixture inference, has at least LEAST_SHARE. The model is fitted on
-    a bounded sample of the rows with a language."""
+    """Keep documents in which mixture inference finds a language, also those in several; null texts and texts without letters
+    have none. The model is fitted on a bounded sample of the rows with a language."""
     model = langid.fit(docs, "doc_id", "text", "lang", F.lit(True))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
     judged = langid.identify(rows, model, "row", "text")
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    return judged.filter(F.col("lang_pred") != "und").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
