@@ -223,3 +223,25 @@ def describe(lookup: DataFrame) -> DataFrame:
     one = lookup.select("num", "key_name").distinct()
     listed = one.agg(F.sort_array(F.collect_list(F.struct("num", "key_name"))).alias("s"))  # one entry a table
     return listed.select(F.when(F.size("s") > 0, F.array_join(F.transform("s", lambda x: F.concat(x["num"], F.lit("（"), x["key_name"], F.lit("）"))), "；")).otherwise("（无查值表）").alias("text"))
+
+
+def tools(nodes: DataFrame, least_chars: int = 800) -> DataFrame:
+    """(node_id, num, layout, key_name, k_text, value) of all lookup tables whose text is long enough: digit grids by
+    number, other tables by their key column with all attributes of a key as one text."""
+    rows = F.filter(F.col("body.rows"), lambda r: F.exists(r, lambda v: ~blank(v)))
+    t = registry(nodes).select("node_id", "num", F.col("body.title").alias("title"), rows.alias("rows"), F.char_length(proxy_text(F.col("body.title"), rows)).alias("n"))
+    t = t.filter((table_kind("title", "rows") == "lookup") & (F.col("n") >= least_chars))
+    long = cells(t, "node_id")
+    names = long.filter("r = 0").select("node_id", "c", X.strip(F.coalesce("v", F.lit(""))).alias("name"))
+    body = long.filter("r > 0")
+    drop = useless_columns(body, names, "node_id")
+    digit = digit_grid(body.join(drop, ["node_id", "c"], "left_anti"), names.join(drop, ["node_id", "c"], "left_anti"), "node_id")
+    grids = digit.join(names.filter("c = 0").select("node_id", F.coalesce(F.nullif("name", F.lit("")), F.lit("λ")).alias("key_name")), "node_id")
+    grids = grids.select("node_id", F.lit("digit_grid").alias("layout"), "key_name", F.col("k").cast("string").alias("k_text"), "value")
+    other = digit.select("node_id").distinct()
+    body, names = body.join(other, "node_id", "left_anti"), names.join(other, "node_id", "left_anti")
+    kept = [x.join(drop, ["node_id", "c"], "left_anti") for x in (body, names)]
+    keyed = key_column(*kept, "node_id").join(names, ["node_id", "c"], "left").select("node_id", F.coalesce(F.nullif("name", F.lit("")), F.lit("键")).alias("key_name"))
+    attrs = row_lookup(body, names, "node_id").groupBy("node_id", "k").agg(F.sort_array(F.collect_list(F.concat("attr", F.lit("="), "value"))).alias("a"))
+    by_row = attrs.join(keyed, "node_id").select("node_id", F.lit("row").alias("layout"), "key_name", F.col("k").alias("k_text"), F.array_join("a", "；").alias("value"))
+    return grids.unionByName(by_row).join(t.select("node_id", "num"), "node_id")

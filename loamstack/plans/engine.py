@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import context, graph, ranking, tables
+from ..sources.io import stored
+from ..streaming import answers
 
 POOL, TOP, BOOST = 30, 10, 0.05
 
@@ -21,7 +25,7 @@ class Engine:
         refs = nodes.select(F.col("node_id").alias("src"), "seq", F.explode("refs").alias("r")).select("src", F.col("r.target_node_id").alias("dst"), F.col("r.target_type").alias("type"), "seq")
         known = nodes.select(F.col("node_id").alias("dst"))
         contains = nodes.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("node_id").alias("dst"), F.lit("contains").alias("type"), "seq")
-        self.edges = graph.edges(refs.join(known, "dst", "left_semi"), contains)
+        self.edges = stored(graph.edges(refs.join(known, "dst", "left_semi"), contains))
 
     def search(self, questions: DataFrame, k: int = TOP) -> DataFrame:
         """(q_id, node_id, type, num, score, rank, bm25_rank, vector_rank, via_graph): fused ranks, boosted mentions, closure."""
@@ -34,20 +38,23 @@ class Engine:
         named = q.select("q_id", F.explode(X.mentions("question")).alias("m")).select("q_id", F.col("m.type").alias("type"), F.col("m.num").alias("num"))
         boost = named.join(self.nodes.select("nid", "type", "num"), ["type", "num"]).select("q_id", "nid").distinct().withColumn("boost", F.lit(BOOST))
         hits = ranking.fuse(bm, vec, "q_id", "nid", k, boost=boost).join(self.nodes.select("nid", "node_id", "type", "num"), "nid")
-        hits = hits.select("q_id", "node_id", "type", "num", "score", "rank", F.col("rank_a").alias("bm25_rank"), F.col("rank_b").alias("vector_rank"), F.lit(None).cast("string").alias("via_graph"))
+        hits = stored(hits.select("q_id", "node_id", "type", "num", "score", "rank", F.col("rank_a").alias("bm25_rank"), F.col("rank_b").alias("vector_rank"), F.lit(None).cast("string").alias("via_graph")))
         more = graph.closure(hits.select("q_id", F.col("node_id").alias("id"), "rank", "type"), self.edges, self.nodes.select(F.col("node_id").alias("id"), "type"), V.REFERENCE_KINDS)
         more = more.join(self.nodes.select(F.col("node_id").alias("id"), "type", "num"), "id")
         none = lambda t: F.lit(None).cast(t)
-        return hits.unionByName(more.select("q_id", F.col("id").alias("node_id"), "type", "num", F.lit(0.0).alias("score"), none("int").alias("rank"), none("int").alias("bm25_rank"), none("int").alias("vector_rank"), F.col("via").alias("via_graph")))
+        every = hits.unionByName(more.select("q_id", F.col("id").alias("node_id"), "type", "num", F.lit(0.0).alias("score"), none("int").alias("rank"), none("int").alias("bm25_rank"), none("int").alias("vector_rank"), F.col("via").alias("via_graph")))
+        return stored(every)  # contexts and comparisons read it several times
 
     def contexts(self, hits: DataFrame, max_blocks: int = 10, max_chars: int = 9000, several: bool = False) -> DataFrame:
         """(q_id, place, node_id, type, text): the blocks that go to the generator."""
-        placed = context.core_and_rest(context.with_parents(hits.select("q_id", "node_id", "score", "rank"), self.nodes), max_blocks)
+        picked = stored(context.with_parents(hits.select("q_id", "node_id", "score", "rank"), self.nodes))
+        placed = stored(context.core_and_rest(picked, max_blocks))
         texts = self.nodes.select("node_id", X.block_text(several).alias("text"))
         return context.fill(placed.join(texts, "node_id"), max_chars)
 
-    def lookups(self, questions: DataFrame, lookup: DataFrame, chosen: DataFrame) -> DataFrame:
+    def lookups(self, questions: DataFrame, chosen: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
         """Exact values for a question's keys, from tables that no block holds yet."""
+        lookup = tables.tools(self.nodes) if lookup is None else lookup
         registered = tables.registry(self.nodes).select("node_id", "seq", F.col("body.title").alias("title"))
         return tables.probe(questions, registered, lookup, chosen)
 
@@ -58,6 +65,28 @@ class Engine:
         named = own.select("q_id", "standard_id", F.explode(X.references("text", "standard_id")).alias("r")).select("q_id", "standard_id", F.col("r.target_type").alias("type"), F.col("r.target_num").alias("num"))
         return context.verdicts(cites, own.select("q_id", "standard_id", "type", "num"), named)
 
+    def ask(self, question: str, generate: answers.Pieces = answers.extract, detail: str = "brief") -> Iterator[tuple[str, dict]]:
+        """The events of one answer: hits and blocks, the generator's pieces, then the checked citations."""
+        spark = self.nodes.sparkSession
+        q = spark.createDataFrame([(0, question)], "q_id long, question string")
+        names = [(r["standard_code"], r["standard_name"]) for r in context.standards(self.nodes).collect()]
+        hits = self.search(q)
+        blocks = self.contexts(hits, several=len(names) > 1)
+        chosen = blocks.orderBy("place").collect()  # ten at most
+        held = spark.createDataFrame([(0, r["node_id"]) for r in chosen], "q_id long, node_id string")
+        keys = q.select(F.size(X.key_candidates("question"))).first()[0]
+        found = self.lookups(q, held).collect() if keys else []  # three at most
+        material = [r["text"] for r in chosen] + [f"【{r['node_id']}】\n【查表结果】{r['key']} → {r['value']}{'' if r['exact'] else '（表中无此精确值，取最接近的一档）'}" for r in found]
+        messages = [{"role": "system", "content": X.system_prompt(names, detail)}, {"role": "user", "content": f"材料：\n\n{question}" if not material else "\n\n".join(material) + f"\n\n问题：{question}"}]
+
+        def finish(answer: str) -> dict:
+            a = spark.createDataFrame([(0, answer)], "q_id long, answer string")
+            own = spark.createDataFrame([(0, r["node_id"], r["text"]) for r in chosen], "q_id long, node_id string, text string")
+            return {"citations": [r.asDict() for r in self.verify(a, own).collect()], "refused": a.select(X.is_refusal("answer")).first()[0]}
+
+        meta = {"blocks": [r["node_id"] for r in chosen], "tables": [r["node_id"] for r in found]}
+        yield from answers.events(messages, generate, finish, meta)
+
     def health(self) -> dict:
         """Counts."""
         s = graph.stats(self.nodes, self.edges).first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,6 +27,15 @@ NODE = ", ".join(f"{n} {t}" for n, t in NODE_TYPES.items())
 CHAR = "doc_id string, page int, text string, x0 double, x1 double, top double, bottom double, size double"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from the shared folder of spark.checkpoint.dir (a temporary one only where that is unset): later plans
+    start there instead of repeating all that led to them."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}")
+    return df.checkpoint()
+
+
 def read_chars(spark: SparkSession, path: str) -> DataFrame:
     """Characters of pages, as a PDF reader leaves them. No PDF reader is part of this package; the contract starts here."""
     return spark.read.schema(CHAR).parquet(path)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from loamstack.functions import text as X
 from loamstack.operators import context, graph, layout, quality, structure, tables
 from loamstack.plans.engine import Engine, badges, boxes_by_page, compare_rankings
-from loamstack.sources import embedders, io
+from loamstack.sources import embedders, io, services
 from loamstack.streaming import answers
 
 
@@ -183,6 +183,7 @@ def test_nodes_are_valid_and_engine_answers(spark, tmp_path):
     assert io.write_nodes(nodes.select(*io.NODE_TYPES), path) == 6 == io.count_nodes(spark, path)
     back = io.read_nodes(spark, path)
     assert back.count() == 6
+    nodes = back.cache()  # as an engine gets them: from files
     e = Engine(nodes)
     q = spark.createDataFrame([(1, "立杆稳定性怎么计算"), (2, "5.1.2 的间距")], "q_id long, question string")
     hits = e.search(q)
@@ -195,6 +196,8 @@ def test_nodes_are_valid_and_engine_answers(spark, tmp_path):
     assert {r["num"]: r["verdict"] for r in v.collect()} == {"5.1.1": "cited", "9.9.9": "invalid"}
     assert badges(v, a).first()["invalid"] == 1
     assert e.health()["nodes"] == 6 and e.node("S:clause:5.1.1")["modality"] == "应" and e.trace("5.1.2")
+    got = dict(e.ask("立杆稳定性怎么计算"))
+    assert "S:clause:5.1.1" in got["meta"]["blocks"] and {c["verdict"] for c in got["done"]["citations"]} == {"cited"}
     assert compare_rankings(e, q).filter("method = 'hybrid'").count() > 0 and boxes_by_page(nodes).count() == 6
 
 
@@ -235,3 +238,19 @@ def test_formulas(spark):
     c = spark.createDataFrame([("c", "式中：N——轴力；\n式中：λ——长细比；")], "node_id string, content string")
     assert {r["node_id"]: r["variables"][0]["symbol"] for r in structure.formula_variables(f, c).collect()} == {"f1": "N", "f2": "λ"}
     assert spark.range(1).select(X.formula_text(F.lit("1"), F.array(F.struct(F.lit("N").alias("symbol"), F.lit("轴力").alias("meaning"))))).first()[0] == "式（1） N=轴力"
+
+
+def test_tools_of_nodes(spark):
+    grid_rows = [["λ", *map(str, range(10))]] + [[str(10 * t), *(f"0.{100 + 10 * t + u}" for u in range(10))] for t in range(5)]
+    list_rows = [["名称", "型号", "重", ""]] + [["立杆" if i % 2 else "", f"Z-LG-{i}", f"{i}.5", "x"] for i in range(25)]
+    body = "struct<title:string,rows:array<array<string>>>"
+    d = spark.createDataFrame([("a", "S", "C.0.1", 1, ("Q235 稳定系数", grid_rows)), ("b", "S", "A.0.1", 2, ("规格", list_rows)), ("c", "S", "D.0.1", 3, ("验收记录表", list_rows))], f"node_id string, standard_id string, num string, seq int, body {body}").withColumn("type", F.lit("table"))
+    got = {(r["node_id"], r["k_text"]): (r["layout"], r["key_name"], r["value"]) for r in tables.tools(d, 10).collect()}
+    assert got["a", "42"] == ("digit_grid", "λ", "0.142") and len([k for k in got if k[0] == "a"]) == 50
+    assert got["b", "Z-LG-7"] == ("row", "型号", "重=7.5") and not [k for k in got if k[0] == "c"]
+
+
+def test_streamed_pieces():
+    lines = [b'data: {"choices": [{"delta": {"reasoning_content": "r"}}]}', b"", b"data: {bad", b'data: {"choices": [{"delta": {"content": "c"}}]}', b"data: [DONE]", b'data: {"choices": [{"delta": {"content": "x"}}]}']
+    assert list(services.pieces(iter(lines))) == [("reasoning", "r"), ("content", "c")]
+    assert not services.reachable("http://127.0.0.1:9", 0.2)
