@@ -175,7 +175,7 @@ def sample_nodes(spark):
 
 
 def test_nodes_are_valid_and_engine_answers(spark, tmp_path):
-    nodes = sample_nodes(spark)
+    nodes = io.stored(sample_nodes(spark))
     assert nodes.select(F.explode(structure.problems())).collect() == []
     assert {r["node_id"]: r["parent_id"] for r in nodes.collect()}["S:clause:5.1.1"] == "S:section:5.1"
     assert structure.summary(nodes).filter("what = 'refs' AND name = 'in_scope'").first()["n"] == 3
@@ -195,10 +195,11 @@ def test_nodes_are_valid_and_engine_answers(spark, tmp_path):
     v = e.verify(a, blocks)
     assert {r["num"]: r["verdict"] for r in v.collect()} == {"5.1.1": "cited", "9.9.9": "invalid"}
     assert badges(v, a).first()["invalid"] == 1
-    assert e.health()["nodes"] == 6 and e.node("S:clause:5.1.1")["modality"] == "应" and e.trace("5.1.2")
+    assert e.health()["nodes"] == 6 and e.node("S:clause:5.1.1")["modality"] == "应"
+    assert compare_rankings(e, q).filter("method = 'hybrid'").count() > 0
     got = dict(e.ask("立杆稳定性怎么计算"))
     assert "S:clause:5.1.1" in got["meta"]["blocks"] and {c["verdict"] for c in got["done"]["citations"]} == {"cited"}
-    assert compare_rankings(e, q).filter("method = 'hybrid'").count() > 0 and boxes_by_page(nodes).count() == 6
+    assert boxes_by_page(nodes).count() == 6
 
 
 def test_answer_stream():
