@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from ..sources.io import stored
 
 
 def blank(v: Column) -> Column:
@@ -231,11 +232,11 @@ def tools(nodes: DataFrame, least_chars: int = 800) -> DataFrame:
     rows = F.filter(F.col("body.rows"), lambda r: F.exists(r, lambda v: ~blank(v)))
     t = registry(nodes).select("node_id", "num", F.col("body.title").alias("title"), rows.alias("rows"), F.char_length(proxy_text(F.col("body.title"), rows)).alias("n"))
     t = t.filter((table_kind("title", "rows") == "lookup") & (F.col("n") >= least_chars))
-    long = cells(t, "node_id")
+    long = stored(cells(t, "node_id"))  # a long plan: it goes on from stored tables
     names = long.filter("r = 0").select("node_id", "c", X.strip(F.coalesce("v", F.lit(""))).alias("name"))
     body = long.filter("r > 0")
-    drop = useless_columns(body, names, "node_id")
-    digit = digit_grid(body.join(drop, ["node_id", "c"], "left_anti"), names.join(drop, ["node_id", "c"], "left_anti"), "node_id")
+    drop = stored(useless_columns(body, names, "node_id"))
+    digit = stored(digit_grid(body.join(drop, ["node_id", "c"], "left_anti"), names.join(drop, ["node_id", "c"], "left_anti"), "node_id"))
     grids = digit.join(names.filter("c = 0").select("node_id", F.coalesce(F.nullif("name", F.lit("")), F.lit("λ")).alias("key_name")), "node_id")
     grids = grids.select("node_id", F.lit("digit_grid").alias("layout"), "key_name", F.col("k").cast("string").alias("k_text"), "value")
     other = digit.select("node_id").distinct()
