@@ -1,4 +1,4 @@
-"""Benchmark decontamination by spaced seeds: fixed masks ignore some words of a window, hits are verified with substitutions."""
+"""Benchmark decontamination by spaced seeds: fixed masks find every place that may hold an overlap, hits are verified with substitutions."""
 
 from __future__ import annotations
 
@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from .bytehash import PUNCT, in_pieces, mix, word_hashes
 from .common import small_batches
 
-#: Fixed masks: a 1 is a word that must agree, a 0 one that may differ.
-MASKS = ("11111111", "1101101110101", "1110010111011", "101110110011011")
+#: Fixed masks: a 1 is a word that must agree, a 0 one that may differ. Of n words, n // 5 may differ and cut the others into
+#: n // 5 + 1 runs, one of which has three words, for all n from 6 on. From 10 words on, such a place has two hits at least.
+MASKS = ("111",)
+#: Masks for items of five words, wherever one differs.
+FIVE = ("1111", "10111", "11011", "11101")
 #: Words that an overlap needs (or the whole item, if shorter), and the share of them that must agree.
 MIN_WORDS, MIN_SAME = 10, 0.8
 #: Items with fewer words are too common to count.
@@ -37,8 +40,9 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(h)
 
 
-def best_overlap(same: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, agreeing words) of the run of positions where agreeing words outweigh others by MIN_SAME, the longest such."""
+def best_overlap(same: np.ndarray, need: int) -> tuple[int, int, int]:
+    """(start, end, agreeing words) of the longest run of at least `need` positions of which MIN_SAME agree, without the
+    differing words at its ends as far as `need` allows; zeros where there is none."""
     gain = np.where(same, 1 - MIN_SAME, -MIN_SAME)
     total = np.concatenate(([0.0], np.cumsum(gain))) + 1e-9 * np.arange(len(gain) + 1)
     low = np.minimum.accumulate(total)
@@ -48,9 +52,11 @@ def best_overlap(same: np.ndarray) -> tuple[int, int, int]:
     end = int(size.argmax())
     start = int(starts[end])
     hits = np.flatnonzero(same[start:end])
-    if not len(hits):
+    if end - start < need or not len(hits):
         return 0, 0, 0
-    return start + int(hits[0]), start + int(hits[-1]) + 1, len(hits)
+    first, last = start + int(hits[0]), start + int(hits[-1]) + 1
+    last = min(end, max(last, first + need))
+    return min(first, last - need), last, len(hits)
 
 
 class Seeds:
@@ -60,13 +66,12 @@ class Seeds:
         self.ids = [i for i, _ in items]
         words, at = word_hashes([t for _, t in items], PUNCT) if items else (np.empty(0, np.uint64), np.zeros(1, np.int64))
         self.words = [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        span = min(map(len, MASKS))
-        short = sorted({len(w) for w in self.words if MIN_ITEM <= len(w) < span})
+        self.hits_needed = np.array([2 if len(w) >= MIN_WORDS else 1 for w in self.words])
         self.tables = []
-        for mask in [*MASKS, *("1" * n for n in short)]:
+        for mask in [*MASKS, *FIVE]:
             h, item, place = [], [], []
             for i, w in enumerate(self.words):
-                if len(w) >= span if mask in MASKS else len(w) == len(mask):
+                if len(w) > MIN_ITEM if mask in MASKS else len(w) == MIN_ITEM:
                     s = seed_hashes(w, mask)
                     h.append(s)
                     item.append(np.full(len(s), i))
@@ -80,7 +85,7 @@ class Seeds:
             self.tables.append((mask, hs[order], np.concatenate(item)[order], np.concatenate(place)[order], bits))
 
     def hits(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (item, first word of the item in `words`) of all seed hits."""
+        """Distinct (item, first word of the item in `words`) of all places with as many seed hits as an overlap has."""
         found = []
         for mask, hs, item, place, bits in self.tables:
             h = seed_hashes(words, mask)
@@ -92,7 +97,14 @@ class Seeds:
             if n.sum():
                 at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 found.append(np.stack([item[at], np.repeat(maybe, n) - place[at]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        if not found:
+            return np.empty((0, 2), np.int64)
+        item, place = np.concatenate(found).T
+        base = int(place.min())
+        key, n = np.unique(item * (int(place.max()) - base + 1) + place - base, return_counts=True)
+        item, place = np.divmod(key, int(place.max()) - base + 1)
+        keep = n >= self.hits_needed[item]
+        return np.stack([item[keep], place[keep] + base], axis=1)
 
 
 def overlaps(texts: list[bytes], seeds: Seeds) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -106,8 +118,8 @@ def overlaps(texts: list[bytes], seeds: Seeds) -> Iterator[tuple[int, int, int,
             lo, hi = max(d, int(at[t])), min(d + len(item), int(at[t + 1]))
             if hi - lo < MIN_ITEM:
                 continue
-            s, e, n = best_overlap(words[lo:hi] == item[lo - d : hi - d])
-            if n >= MIN_SAME * (e - s) and e - s >= min(MIN_WORDS, len(item)) and (n, -lo - s) > best.get((t, i), (0, 0, 0))[:2]:
+            s, e, n = best_overlap(words[lo:hi] == item[lo - d : hi - d], min(MIN_WORDS, len(item)))
+            if n and (n, -lo - s) > best.get((t, i), (0, 0, 0))[:2]:
                 best[t, i] = (n, -lo - s, e - s)
     for (t, i), (n, start, size) in best.items():
         yield t, i, -start - int(at[t]), size, n, len(seeds.words[i])

@@ -310,6 +310,27 @@ def test_overlaps_with_substitutions(spark, texts, odd):
     assert decontaminate.find_overlaps(odd, items.limit(0), "doc_id", "text", "item_id", "text").count() == 0
 
 
+def brute_overlap(doc, item):
+    need = min(10, len(item))
+    for d in range(-len(item), len(doc)):
+        same = [doc[d + j] == item[j] for j in range(len(item)) if 0 <= d + j < len(doc)]
+        if any(5 * sum(same[s:e]) >= 4 * (e - s) for s in range(len(same)) for e in range(s + need, len(same) + 1)):
+            return True
+    return False
+
+
+def test_overlaps_with_any_substitutions():
+    """Each pattern of a fifth of the words replaced, also in items of 5 to 9 words, is found, and only such."""
+    r = random.Random(3)
+    items = [[f"w{r.randrange(400)}" for _ in range(n)] for n in [*range(5, 16), 20, 30, 50] for _ in range(3)]
+    seeds = decontaminate.Seeds([(i, " ".join(x).encode()) for i, x in enumerate(items)])
+    docs = [[f"d{r.randrange(400)}" for _ in range(r.randint(0, 9))] + [w if r.random() > 0.2 else "zz" for w in r.choice(items)][r.choice([0, 0, 3]) :] + ["x"] * r.randint(0, 3) for _ in range(800)]
+    docs += [[w if (j + phase) % 5 else "zz" for j, w in enumerate(x)] for x in items for phase in range(5)]
+    got = list(decontaminate.overlaps([" ".join(x).encode() for x in docs], seeds))
+    assert {(t, i) for t, i, *_ in got} == {(t, i) for t, x in enumerate(docs) for i, y in enumerate(items) if brute_overlap(x, y)}
+    assert all(5 * n >= 4 * size >= 4 * min(10, of) for _, _, _, size, n, of in got)
+
+
 def test_overlaps_like_brute_force(spark, texts):
     bench = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     norm = lambda x: f" {' '.join(re.findall(r'[0-9a-z' + chr(128) + '-' + chr(0x10FFFF) + ']+', x.lower()))} "
