@@ -189,12 +189,20 @@ class Plan:
                 first, count = room[r].pop()
                 if not room[r]:
                     del room[r]
-                take = min(n, count)
-                self._place(x, take, first, self.capacity - r)
-                if take < count:
-                    room.setdefault(r, []).append((first + take, count - take))
-                if r > x:
-                    room.setdefault(r - x, []).append((first, take))
+                each = r // x  # the sequence just made fuller stays the fullest with room
+                full = min(count, n // each)
+                rest = n - full * each if full < count else 0
+                for j in range(each):
+                    if full:
+                        self._place(x, full, first, self.capacity - r + j * x)
+                for j in range(rest):
+                    self._place(x, 1, first + full, self.capacity - r + j * x)
+                if r > each * x and full:
+                    room.setdefault(r - each * x, []).append((first, full))
+                if rest:
+                    room.setdefault(r - rest * x, []).append((first + full, 1))
+                if full + bool(rest) < count:
+                    room.setdefault(r, []).append((first + full + bool(rest), count - full - bool(rest)))
 
 
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:

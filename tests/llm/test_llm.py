@@ -282,6 +282,36 @@ def test_plan_packs_everything(histogram):
     assert -(-total // 60) <= len(bins) == plan.sequences <= 1.25 * total / 60 + 1 + sum(n for k, n in histogram.items() if k > 30)
 
 
+def best_fit_decreasing(items, capacity):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        at = min((i for i, r in enumerate(rooms) if r >= x), key=lambda i: rooms[i], default=None)
+        if at is None:
+            rooms.append(capacity - x)
+        else:
+            rooms[at] -= x
+    return len(rooms)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), min_size=1, max_size=25))
+def test_plan_remainder_is_best_fit(histogram):
+    plan = packing.Plan(histogram, 60)
+    fixed = {s for _, _, count, seq, _ in plan.slots for s in range(seq, seq + count)}
+    left = dict(histogram)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing.Plan, "_best_fit", lambda self: None)
+        reduced = packing.Plan(histogram, 60)
+    for length, n in reduced.used.items():
+        left[length] -= n
+    assert len(fixed) == plan.sequences == reduced.sequences + best_fit_decreasing([k for k, n in left.items() for _ in range(n)], 60)
+
+
+def test_plan_of_few_hot_lengths():
+    assert packing.Plan({2600: 10000, 700: 8000, 450: 40000}, 4096).sequences == 12445
+    assert packing.Plan({3000: 10000, 500: 6000, 350: 30000}, 4096).sequences == 10819
+
+
 def test_packing(spark, odd, monkeypatch):
     monkeypatch.setattr(packing, "MAX_SLOTS", 3)  # several broadcast blocks
     got = packing.pack_documents(odd, "doc_id", "text", queries.tokenizer_path()).collect()
