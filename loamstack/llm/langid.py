@@ -21,8 +21,6 @@ TRAIN_DOCS = 20_000
 MAX_LANGS = 256
 #: Penalty for each language of the set, in units of half the logarithm of the number of trigrams, times this.
 PENALTY = 8.0
-#: Languages that a document's set holds at most.
-MAX_SET = 3
 
 _table: np.ndarray | None = None
 
@@ -94,7 +92,7 @@ class Model:
         pi, _ = self._em(p, c, 12)
         order = np.lexsort((np.arange(len(pi)), -pi))
         best = None
-        for k in range(1, min(MAX_SET, len(order)) + 1):
+        for k in range(1, len(order) + 1):
             chosen = order[:k]
             share, ll = self._em(p[:, chosen], c, 12)
             score = ll - PENALTY * k * 0.5 * np.log(c.sum() + 1)

@@ -80,6 +80,15 @@ def test_language(spark, docs, odd, texts):
     assert langid.fit(docs.limit(0), "doc_id", "text", "lang", F.lit(True)).predict("abc")[0] == "und"
 
 
+def test_language_sets_of_any_size(docs):
+    model = langid.fit(docs, "doc_id", "text", "lang", F.lit(True))
+    long = {lang: max((r["text"] for r in docs.filter(F.col("lang") == lang).select("text").collect()), key=len)[:3000] for lang in model.langs}
+    assert len(long) >= 4
+    lang, share, languages = model.predict(" ".join(long.values()))
+    shares = dict(x.split(":") for x in languages.split(","))
+    assert set(shares) == set(long) and abs(sum(map(float, shares.values())) - 1) < 0.01 and lang == languages.split(":")[0] and share < 0.5
+
+
 def covered(all_texts, size):
     seen, out = {}, {}
     for _, t in all_texts:
