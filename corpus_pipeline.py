@@ -23,12 +23,13 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in which mixture inference finds a language, also those in several; null texts and texts without letters
-    have none. The model is fitted on a bounded sample of the rows with a language."""
+    """Keep documents in which mixture inference finds a language, also those in several; null texts, texts without letters and
+    texts mostly of trigrams that no language explains have none. The model is fitted on a bounded sample of the
+    rows with a language."""
     model = langid.fit(docs, "doc_id", "text", "lang", F.lit(True))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    judged = langid.identify(rows, model, "row", "text")
-    return judged.filter(F.col("lang_pred") != "und").select("row.*")
+    judged = langid.identify(rows, model, "row", "text", keep_known=True)
+    return judged.filter((F.col("lang_pred") != "und") & F.col("known")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

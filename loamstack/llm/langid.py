@@ -85,9 +85,14 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, str]:
         """(language, its share, all languages of the chosen set with shares); `und`, 0 and nothing for texts without letters."""
+        return self.judge(text)[:3]
+
+    def judge(self, text: str | None) -> tuple[str, float, str, bool]:
+        """As `predict`, and whether the text is in those languages: not if it has no letters, or if even trigrams explain it better
+        and, as one more component of the mixture, have more than half of it. A short text with a long key in it still is."""
         u, c = counted(trigrams(text))
         if not len(u):
-            return "und", 0.0, ""
+            return "und", 0.0, "", False
         p, c = self.p[u].astype(np.float64), c.astype(np.float64)
         pi, _ = self._em(p, c, 12)
         order = np.lexsort((np.arange(len(pi)), -pi))
@@ -98,10 +103,13 @@ class Model:
             score = ll - PENALTY * k * 0.5 * np.log(c.sum() + 1)
             if best is not None and score <= best[0]:
                 break
-            best = score, chosen, share
-        _, chosen, share = best
+            best = score, chosen, share, ll
+        _, chosen, share, ll = best
+        known = ll >= -np.log(BUCKETS) * c.sum()
+        if not known:
+            known = self._em(np.concatenate([p, np.full((len(p), 1), 1 / BUCKETS)], axis=1), c, 50)[0][-1] <= 0.5
         ranked = sorted(zip((-share).tolist(), [self.langs[i] for i in chosen], strict=True))
-        return ranked[0][1], float(min(1.0, max(0.0, -ranked[0][0]))), ",".join(f"{lang}:{-s:.3f}" for s, lang in ranked)
+        return ranked[0][1], float(min(1.0, max(0.0, -ranked[0][0]))), ",".join(f"{lang}:{-s:.3f}" for s, lang in ranked), bool(known)
 
 
 def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, allowed: Column, sample_docs: int = TRAIN_DOCS) -> Model:
@@ -141,11 +149,12 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, allowed: Colum
     return Model.of(langs, counts)
 
 
-def identify(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+def identify(df: DataFrame, model: Model, id_col: str, text_col: str, keep_known: bool = False) -> DataFrame:
     """id, lang_pred, score, languages for each row, from its whole text only.
 
     Null texts and texts without letters are `und` with score 0. Equal texts get equal results; ids may repeat or be
-    null; extra columns are not read; an empty table gives an empty result.
+    null; extra columns are not read; an empty table gives an empty result. `keep_known` adds the
+    column `known` of `Model.judge`.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     src = small_batches(df).select(df[id_col], df[text_col])
@@ -153,10 +162,11 @@ def identify(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFra
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            got = [m.predict(t) for t in b.column(1).to_pylist()]
+            got = [m.judge(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.string())],
-                names=[id_col, "lang_pred", "score", "languages"],
+                [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.string()), pa.array([g[3] for g in got], pa.bool_())],
+                names=[id_col, "lang_pred", "score", "languages", "known"],
             )
 
-    return src.mapInArrow(predict, f"`{id_col}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double, languages string")
+    out = src.mapInArrow(predict, f"`{id_col}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double, languages string, known boolean")
+    return out if keep_known else out.drop("known")
