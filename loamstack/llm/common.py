@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Batches = Iterator[pa.RecordBatch]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the input folder."""
@@ -37,6 +43,22 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def giving_back(f: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same function for mapInArrow. Python workers live on between tasks; at a task's end this one returns what it has freed
+    to the system, which the allocators would keep."""
+
+    def run(batches: Batches) -> Batches:
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it again, which cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
@@ -44,21 +66,23 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bits of a membership bitmap. Its size is fixed, whatever the number of ids; more ids only let more rows pass.
-BITMAP_BITS = 1 << 24
+#: Least and greatest number of bits of a membership bitmap (128 KB to 16 MB); it has eight bits or more for each id as far as
+#: the greatest allows. Beyond, more rows pass than need to.
+BITMAP_BITS = 1 << 20, 1 << 27
 _BITS_PER_ROW = 32768
 
 
 def id_bitmap(ids: DataFrame, col: str) -> bytes:
-    """A fixed-size bitmap (2 MB) of hashed ids. A clear bit proves absence, a set bit proves nothing."""
-    slot = F.pmod(F.xxhash64(F.col(col)), F.lit(BITMAP_BITS)).alias("slot")
+    """A bitmap of hashed ids, sized by their number. A clear bit proves absence, a set bit proves nothing. `ids` should be stored."""
+    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], 1 << (8 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(F.col(col)), F.lit(bits)).alias("slot")
     rows = (
         ids.select(slot)
         .groupBy(F.floor(F.col("slot") / _BITS_PER_ROW).cast("int").alias("block"))
         .agg(F.bitmap_construct_agg(F.col("slot") % _BITS_PER_ROW).alias("bits"))
-        .collect()  # at most BITMAP_BITS / 32768 = 512 rows of 4 KB
+        .collect()  # at most 4096 rows of 4 KB
     )
-    out = bytearray(BITMAP_BITS // 8)
+    out = bytearray(bits // 8)
     for r in rows:
         at = r["block"] * _BITS_PER_ROW // 8
         out[at : at + len(r["bits"])] = r["bits"]
@@ -68,11 +92,10 @@ def id_bitmap(ids: DataFrame, col: str) -> bytes:
 def in_bitmap(df: DataFrame, col: str, bitmap: bytes) -> tuple[DataFrame, DataFrame]:
     """(rows that may be in the bitmap, rows that surely are not); both read only what their plans need."""
     spark = df.sparkSession
-    blocks = [
-        (i, bytearray(bitmap[i * 4096 : (i + 1) * 4096])) for i in range(BITMAP_BITS // _BITS_PER_ROW) if any(bitmap[i * 4096 : (i + 1) * 4096])
-    ]
-    small = spark.createDataFrame(blocks, "_block int, _bits binary")  # 2 MB at most
-    slot = F.pmod(F.xxhash64(F.col(col)), F.lit(BITMAP_BITS))
+    bits, zeros = 8 * len(bitmap), bytes(4096)
+    blocks = [(i, bytearray(x)) for i in range(bits // _BITS_PER_ROW) if (x := bitmap[i * 4096 : (i + 1) * 4096]) != zeros]
+    small = spark.createDataFrame(blocks, "_block int, _bits binary")  # 16 MB at most
+    slot = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
     marked = df.withColumn("_slot", slot).join(
         F.broadcast(small), F.floor(F.col("_slot") / _BITS_PER_ROW).cast("int") == F.col("_block"), "left"
     )
@@ -83,6 +106,18 @@ def in_bitmap(df: DataFrame, col: str, bitmap: bytes) -> tuple[DataFrame, DataFr
     return marked.filter("_hit").drop("_hit"), marked.filter("NOT _hit").drop("_hit")
 
 
+#: Of all rows, a key with more than one in so many is hot. There are fewer such keys than this.
+HOT_SHARE = 1000
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join with `small`, whose column `count` says how many of `big`'s `total` rows each key has. Rows of `small` for hot
+    keys, fewer than HOT_SHARE, are broadcast, so no hot key's rows are brought together. Both sides should be stored."""
+    cut = max(total // HOT_SHARE, HOT_SHARE)
+    hot, rest = F.broadcast(small.filter(F.col(count) > cut)), small.filter(F.col(count) <= cut)
+    return big.join(hot, on).unionByName(big.join(hot.select(*on), on, "left_anti").join(rest, on))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph: (id, root), root the least id reachable; vertices without edges are absent.
 

@@ -64,7 +64,7 @@ def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", 400).drop("kept")
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", 400, passage_words=50).drop("kept")
 
 
 def op4_media_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

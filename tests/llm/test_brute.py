@@ -1,0 +1,87 @@
+"""The queries themselves against brute force, over the whole smallest tables and over small tables made to be hard."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loamstack.llm import common, queries, repeats
+from test_llm import covered
+
+SF = "/root/testdata/sf0.001"
+
+
+def words_of(text):
+    return re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def sharers(rows, size):
+    """Documents (id, text) with a run of `size` words that another one has too."""
+    seen = {}
+    for key in {*rows}:
+        w = words_of(key[1])
+        for p in range(len(w) - size + 1):
+            seen.setdefault(tuple(w[p : p + size]), set()).add(key)
+    return set().union(*(v for v in seen.values() if len(v) > 1))
+
+
+def tables(folder, **frames):
+    for name, df in frames.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_op3_query(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.op3_longest_previous_factors(spark, SF).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == covered([(i, (t or "").encode()) for i, t in docs], 400)
+    share = sharers(docs, 50)
+    assert share and {r["doc_id"] for r in got if r["shares_passage"]} == {i for i, _ in share}
+
+
+@pytest.mark.parametrize("hot", [300, 1])
+def test_passages(spark, monkeypatch, hot):
+    """Shared word runs, also periodic ones, in texts with other white space and case; runs that only repeat within a document don't count."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(common, "HOT_SHARE", 3 if hot == 1 else 1000)
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice(["ab", "Cd", "é", "x9", "the", "of", "river"]) for _ in range(n))
+    shared = say(30)
+    rows = [(i, say(r.randint(0, 40)) + " " + (" ".join(shared.split()[: r.randint(5, 30)]) if i % 2 else "") + ("\n" + "go on " * 12 if i % 9 == 0 else "") + " " + say(r.randint(0, 20))) for i in range(50)]
+    rows += [(60, None), (61, ""), (62, shared.upper().replace(" ", "\n")), (63, "own " * 40), (64, "say it " * 30), (64, "say it " * 30), (65, say(9)), (66, say(10)), (None, shared)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1))
+    got = repeats.remove_repeats(d, "doc_id", "text", 40, passage_words=10).collect()
+    want = {(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in sharers(rows, 10)}
+    assert {(x["doc_id"], hashlib.sha256(t.encode()).hexdigest()) for x in got if x["shares_passage"] for i, t in rows if i == x["doc_id"]} == want
+    assert len(got) == len(rows) and repeats.remove_repeats(d.limit(0), "doc_id", "text", 40, passage_words=10).count() == 0
+
+
+def test_repeats_in_texts_of_several_parts(spark):
+    """Texts beyond one part, with repeats across the border."""
+    r = np.random.default_rng(1)
+    say = lambda n: bytes(r.integers(97, 123, n, np.uint8)).decode()
+    a, b = say(repeats.PART - 300), say(900)
+    rows = [(1, a + b + say(5000)), (2, say(100) + b + say(10)), (3, say(700_000)), (4, say(10) + a[-5000:])]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 400).collect()
+    assert sorted(((x["doc_id"], x["n_bytes"], x["n_removed"], x["kept_sha256"]) for x in got), key=str) == covered([(i, t.encode()) for i, t in rows], 400)
+
+
+def test_bitmap_with_many_ids(spark):
+    """The bitmap grows with the ids, so it still turns others away."""
+    n = 300_000
+    some = common.materialise(spark.range(0, 2 * n, 2), "ids")
+    bits = common.id_bitmap(some, "id")
+    assert 8 * len(bits) >= 8 * n > common.BITMAP_BITS[0]
+    maybe, sure = common.in_bitmap(spark.range(2 * n), "id", bits)
+    assert sure.filter("id % 2 = 0").count() == 0 and sure.count() > 0.8 * n and maybe.count() + sure.count() == 2 * n
+
+
+def test_join_counted(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    big = common.materialise(spark.range(1000).select(F.when(F.col("id") < 600, 1).otherwise(F.col("id")).alias("k"), "id"), "big")
+    small = big.filter("k % 3 <> 0").groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    got = common.join_counted(big, small, ["k"], "c", 1000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small, "k").collect()))
