@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts mostly of trigrams that no language explains have none. The model is fitted on a bounded sample of the
     rows with a language."""
     model = langid.fit(docs, "doc_id", "text", "lang", F.lit(True))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    judged = langid.identify(rows, model, "row", "text", keep_known=True)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    judged = langid.identify(rows, model, "row", "row.text", keep_known=True)
     return judged.filter((F.col("lang_pred") != "und") & F.col("known")).select("row.*")
 
 
@@ -49,7 +49,7 @@ def benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; personal data in its text is replaced by the kind, and n_chars follows."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
     new = {"text": F.col("redacted"), "n_chars": F.when(F.col("spans") == "", F.col("row.n_chars")).otherwise(F.char_length("redacted").cast("long"))}
     found = pii.find_pii(rows, "row", "text")
     return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

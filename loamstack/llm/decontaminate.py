@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import PUNCT, in_pieces, mix, word_hashes
-from .common import small_batches
+from .common import giving_back, small_batches
 
 #: Fixed masks: a 1 is a word that must agree, a 0 one that may differ. Of n words, n // 5 may differ and cut the others into
 #: n // 5 + 1 runs, one of which has three words, for all n from 6 on. From 10 words on, such a place has two hits at least.
@@ -156,6 +156,6 @@ def find_overlaps(df: DataFrame, items: DataFrame, id_col: str, text_col: str, i
                             [b.column(0).take(pa.array(t)), *(pa.array(c, pa.int64()) for c in cols)], names=[id_col, "item_id", "first_word", "words", "same_words", "item_words"]
                         )
 
-        hits = src.mapInArrow(find, f"`{id_col}` {src.schema[0].dataType.simpleString()}, item_id long, first_word long, words long, same_words long, item_words long")
+        hits = src.mapInArrow(giving_back(find), f"`{id_col}` {src.schema[0].dataType.simpleString()}, item_id long, first_word long, words long, same_words long, item_words long")
         out = hits if out is None else out.unionByName(hits)
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import BASE, SPACE, U, in_pieces, mix, shingles, word_hashes
-from .common import components, id_bitmap, in_bitmap, materialise, small_batches
+from .common import components, giving_back, id_bitmap, in_bitmap, materialise, small_batches
 
 #: Coordinates of a count vector, members of a leaf and children of a node of the R-tree.
 GROUPS, LEAF, FAN = 16, 16, 16
@@ -148,7 +148,7 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFram
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", "n", "key", "p", "nw", "watched", "more"])
 
-    return src.mapInArrow(sketch, "id long, n long, key long, p int, nw int, watched binary, more binary")
+    return src.mapInArrow(giving_back(sketch), "id long, n long, key long, p int, nw int, watched binary, more binary")
 
 
 def _shared_tokens(sketches: DataFrame, tokens: int) -> DataFrame:
@@ -218,8 +218,8 @@ def _shared_tokens(sketches: DataFrame, tokens: int) -> DataFrame:
         if held:
             yield from close(held)
 
-    packed = sketches.select("key", "watched").mapInArrow(scatter, "bucket int, blob binary")
-    return packed.repartition(max(8, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(count, "token long, key long, df long")
+    packed = sketches.select("key", "watched").mapInArrow(giving_back(scatter), "bucket int, blob binary")
+    return packed.repartition(max(8, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(count), "token long, key long, df long")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
@@ -241,7 +241,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
     want = F.col("p") - (F.col("nw") - F.coalesce(F.size("shared"), F.lit(0)))
     rare = rare.withColumn("want", F.when(F.col("shared").isNull(), F.lit(0)).otherwise(F.greatest(want, F.lit(0)))).filter("want > 0 OR more IS NOT NULL")
     known = rare.filter("want > 0").select("key", F.explode(F.slice("shared", F.lit(1), F.col("want"))["token"]).alias("token"))
-    unknown = rare.filter("more IS NOT NULL").select("key", "more").mapInArrow(_unpack, "key long, token long")
+    unknown = rare.filter("more IS NOT NULL").select("key", "more").mapInArrow(giving_back(_unpack), "key long, token long")
     at = materialise(known.unionByName(unknown), "rare-shingles")
     hubs = at.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("other")).filter("hub <> other").drop("other")
     blocks = components(at.join(hubs, "token").select("key", "hub"), "key", "hub")
@@ -259,7 +259,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
                 blobs = [x.tobytes() for x in sets_of(part.column(5).to_pylist(), k)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(blobs, pa.binary())], names=["block", "parts", "part", "rep", "key", "blob"])
 
-    sets = sets.mapInArrow(to_sets, "block long, parts int, part int, rep long, key long, blob binary")
+    sets = sets.mapInArrow(giving_back(to_sets), "block long, parts int, part int, rep long, key long, blob binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     tiles = sets.withColumn("other", other).select("block", F.least("part", "other").alias("ti"), F.greatest("part", "other").alias("tj"), "rep", "key", "blob")
 
@@ -283,7 +283,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
             yield close(group)
 
     dealt = tiles.repartition("block", "ti", "tj").sortWithinPartitions("block", "ti", "tj", "rep")
-    links = components(dealt.mapInArrow(resolve, "a long, b long"), "a", "b")
+    links = components(dealt.mapInArrow(giving_back(resolve), "a long, b long"), "a", "b")
     roots = classes.join(links, classes["rep"] == links["id"], "left").select(F.col("key"), F.coalesce("root", "rep").alias("root"))
     mine = s.select("id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key"))
     out = mine.join(roots, "key", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import giving_back, small_batches
 
 #: Hashed trigram buckets of a model.
 BUCKETS = 1 << 15
@@ -136,7 +136,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, allowed: Colum
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(giving_back(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toArrow()  # languages x BUCKETS rows at most
     langs = sorted(set(got.column("lang").to_pylist()))
     if len(langs) > MAX_LANGS:
@@ -154,19 +154,21 @@ def identify(df: DataFrame, model: Model, id_col: str, text_col: str, keep_known
 
     Null texts and texts without letters are `und` with score 0. Equal texts get equal results; ids may repeat or be
     null; extra columns are not read; an empty table gives an empty result. `keep_known` adds the
-    column `known` of `Model.judge`.
+    column `known` of `Model.judge`. Where the id is a struct that holds the text, text_col is `id.text`, and texts cross to
+    Python once.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    src = small_batches(df).select(df[id_col], df[text_col])
+    held = text_col.partition(".")[2] if text_col.startswith(f"{id_col}.") else None
+    src = small_batches(df).select(df[id_col]) if held else small_batches(df).select(df[id_col], df[text_col])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            got = [m.judge(t) for t in b.column(1).to_pylist()]
+            got = [m.judge(t) for t in (b.column(0).field(held) if held else b.column(1)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.string()), pa.array([g[3] for g in got], pa.bool_())],
                 names=[id_col, "lang_pred", "score", "languages", "known"],
             )
 
-    out = src.mapInArrow(predict, f"`{id_col}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double, languages string, known boolean")
+    out = src.mapInArrow(giving_back(predict), f"`{id_col}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double, languages string, known boolean")
     return out if keep_known else out.drop("known")

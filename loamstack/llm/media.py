@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import giving_back, small_batches
 
 #: Fixed values of public formats: magic bytes and the type they announce.
 SIGNATURES = [
@@ -222,7 +222,7 @@ def store_as_samples(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=[id_col, "n_bytes", "declared", "media"],
                 )
 
-    return src.mapInArrow(encode, f"`{id_col}` {src.schema[0].dataType.simpleString()}, n_bytes long, declared string, media binary")
+    return src.mapInArrow(giving_back(encode), f"`{id_col}` {src.schema[0].dataType.simpleString()}, n_bytes long, declared string, media binary")
 
 
 def inspect(df: DataFrame, id_col: str) -> DataFrame:
@@ -260,6 +260,6 @@ def inspect(df: DataFrame, id_col: str) -> DataFrame:
             )
 
     return src.mapInArrow(
-        decode,
+        giving_back(decode),
         f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, media_bytes long, media_sha256 string, media_type string, carved string",
     )

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import in_pieces
-from .common import materialise, small_batches
+from .common import giving_back, materialise, small_batches
 
 CAPACITY = 4096
 #: Id that ends every document.
@@ -23,7 +23,7 @@ END_ID = 1
 #: Slots that are broadcast at once (40 bytes each); more are dealt with in blocks.
 MAX_SLOTS = 1_000_000
 #: Words that a worker remembers the ids of at most, and their greatest length.
-CACHE_WORDS, CACHE_LENGTH = 500_000, 40
+CACHE_WORDS, CACHE_LENGTH = 250_000, 40
 #: Rows that one ranking task orders, about.
 RANK_ROWS = 200_000
 #: More than any rank; a length and a rank make one number.
@@ -116,7 +116,7 @@ def cut_into_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer_path: s
                     names=[id_col, "piece", "start", "length", "ids_crc32"],
                 )
 
-    return src.mapInArrow(cut, f"`{id_col}` {src.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return src.mapInArrow(giving_back(cut), f"`{id_col}` {src.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 class Plan:
@@ -242,7 +242,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
                 hit = s[np.searchsorted(key, length * RANKS + rank, side="right") - 1]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hit[:, 3] + rank - hit[:, 1]), pa.array(hit[:, 4])], names=names)
 
-        parts.append(rows.mapInArrow(place, fields))
+        parts.append(rows.mapInArrow(giving_back(place), fields))
     if not parts:
         return pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     out = parts[0]

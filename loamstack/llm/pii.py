@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .boosting import BoostedTrees
-from .common import small_batches
+from .common import giving_back, small_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -330,4 +330,4 @@ def find_pii(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(find, f"`{id_col}` {kind}, redacted string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return src.mapInArrow(giving_back(find), f"`{id_col}` {kind}, redacted string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
