@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,6 +22,10 @@ SIGNATURES = [
     (b"BM", "image/bmp"), (b"%PDF-", "application/pdf"), (b"PK\x03\x04", "application/zip"), (b"\x1f\x8b\x08", "application/gzip"),
     (b"OggS", "audio/ogg"), (b"fLaC", "audio/flac"), (b"MThd", "audio/midi"), (b".snd", "audio/basic"),
 ]
+#: Marks that end a piece, located by the same automaton.
+TRAILERS = [(b"%%EOF", "pdf end"), (b"PK\x05\x06", "zip end"), (b"\xff\xd9", "jpeg end")]
+#: Types that repeat their magic within one piece; there, magics inside an accepted piece start nothing.
+CHAINED = {"application/pdf", "application/zip", "audio/ogg"}
 SAMPLE_RATE = 8000
 BLOCK = 64
 
@@ -57,7 +62,16 @@ def wav_data(b: bytes, at: int = 0) -> tuple[int, int, int] | None:
     return None
 
 
-def _png(b: bytes, at: int) -> int | None:
+Marks = dict[str, list[int]]
+
+
+def _next(marks: Marks, kind: str, at: int) -> int | None:
+    """The first mark of a kind from `at` on."""
+    i = bisect_left(marks[kind], at)
+    return marks[kind][i] if i < len(marks[kind]) else None
+
+
+def _png(b: bytes, at: int, marks: Marks) -> int | None:
     p = at + 8
     first = True
     while p + 12 <= len(b):
@@ -70,7 +84,7 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, marks: Marks) -> int | None:
     if len(b) < at + 13:
         return None
     flags = b[at + 10]
@@ -96,7 +110,7 @@ def _gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(b: bytes, at: int, marks: Marks) -> int | None:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF and 0xC0 <= b[p + 1] <= 0xFE:
         n = struct.unpack_from(">H", b, p + 2)[0]
@@ -104,32 +118,35 @@ def _jpeg(b: bytes, at: int) -> int | None:
             return None
         scan, p = b[p + 1] == 0xDA, p + 2 + n
         if scan:
-            end = b.find(b"\xff\xd9", p)
-            return end + 2 if end >= 0 else None
+            end = _next(marks, "jpeg end", p)
+            return None if end is None else end + 2
     return None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, marks: Marks) -> int | None:
     if len(b) < at + 26:
         return None
     size, zero, start, head = struct.unpack_from("<IIII", b, at + 2)
     return at + size if zero == 0 and head in (12, 40, 52, 56, 64, 108, 124) and 14 + head <= start <= size <= len(b) - at else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+def _pdf(b: bytes, at: int, marks: Marks) -> int | None:
+    """To the last end mark before the next document: each update of a document appends one."""
+    stop = _next(marks, "application/pdf", at + 1)
+    i = bisect_left(marks["pdf end"], len(b) if stop is None else stop)
+    end = marks["pdf end"][i - 1] if i else -1
+    return end + 5 if end > at and b.find(b"startxref", at, end) >= 0 else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
+def _zip(b: bytes, at: int, marks: Marks) -> int | None:
+    end = _next(marks, "zip end", at)
+    if end is None or end + 22 > len(b):
         return None
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
     return end + 22 + note if at + start + size == end and end + 22 + note <= len(b) else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+def _gzip(b: bytes, at: int, marks: Marks) -> int | None:
     d = zlib.decompressobj(31)
     view, p = memoryview(b), at
     try:
@@ -141,21 +158,31 @@ def _gzip(b: bytes, at: int) -> int | None:
     return min(p, len(b)) - len(d.unused_data) if d.eof else None
 
 
-def _flac(b: bytes, at: int) -> int | None:
-    return len(b) if len(b) >= at + 42 and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\0\0\x22" else None
+def _flac(b: bytes, at: int, marks: Marks) -> int | None:
+    """Metadata blocks up to the last one, then a frame. The format states no length of the frames: a stream goes on to the end."""
+    p, last, first = at + 4, False, True
+    while not last:
+        if p + 4 > len(b):
+            return None
+        last, kind, n = b[p] >= 128, b[p] & 127, int.from_bytes(b[p + 1 : p + 4], "big")
+        if (first and (kind, n) != (0, 34)) or (not first and kind == 0) or kind == 127:
+            return None
+        first, p = False, p + 4 + n
+    return len(b) if b[p : p + 1] == b"\xff" and b[p + 1 : p + 2] in (b"\xf8", b"\xf9") else None
 
 
-def _ogg(b: bytes, at: int) -> int | None:
-    p, pages = at, 0
-    while b[p : p + 5] == b"OggS\0" and p + 27 <= len(b) and p + 27 + b[p + 26] <= len(b):
-        n = 27 + b[p + 26] + sum(b[p + 27 : p + 27 + b[p + 26]])
-        if p + n > len(b):
-            return None
-        p, pages = p + n, pages + 1
-    return p if pages else None
+def _ogg(b: bytes, at: int, marks: Marks) -> int | None:
+    """Whole pages that follow on each other. A stream that breaks off in a page gives the complement of that place: nothing begins before it."""
+    p = at
+    while b[p : p + 5] == b"OggS\0":
+        table = p + 27 + b[p + 26] if p + 27 <= len(b) else len(b) + 1
+        if table > len(b) or table + sum(b[p + 27 : table]) > len(b):
+            return ~p
+        p = table + sum(b[p + 27 : table])
+    return p if p > at else None
 
 
-def _midi(b: bytes, at: int) -> int | None:
+def _midi(b: bytes, at: int, marks: Marks) -> int | None:
     if len(b) < at + 14 or struct.unpack_from(">I", b, at + 4)[0] != 6:
         return None
     p = at + 14
@@ -166,14 +193,14 @@ def _midi(b: bytes, at: int) -> int | None:
     return p if p <= len(b) else None
 
 
-def _snd(b: bytes, at: int) -> int | None:
+def _snd(b: bytes, at: int, marks: Marks) -> int | None:
     if len(b) < at + 24:
         return None
     start, n = struct.unpack_from(">II", b, at + 4)
     return at + start + n if start >= 24 and at + start + n <= len(b) else None
 
 
-def _riff(b: bytes, at: int) -> int | None:
+def _riff(b: bytes, at: int, marks: Marks) -> int | None:
     found = wav_data(b, at)
     return found[2] if found else None
 
@@ -185,21 +212,31 @@ VALIDATORS = {
 
 
 def automaton() -> ahocorasick.Automaton:
-    """Aho-Corasick over all magic bytes, on text in which each character is a byte."""
+    """Aho-Corasick over all magic bytes and end marks, on text in which each character is a byte."""
     a = ahocorasick.Automaton()
-    for magic, kind in SIGNATURES:
+    for magic, kind in [*SIGNATURES, *TRAILERS]:
         a.add_word(magic.decode("latin-1"), (len(magic), kind))
     a.make_automaton()
     return a
 
 
 def sniff(b: bytes, a: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
-    """(start, end, type) of every piece of media whose structure and lengths hold; nested pieces are reported too."""
-    found = []
+    """(start, end, type) of every piece of media whose structure and lengths hold; nested pieces are reported too. Formats that
+    repeat their magic, one for each page or entry, give one piece."""
+    marks: Marks = {kind: [] for _, kind in [*SIGNATURES, *TRAILERS]}
+    hits = []
     for last, (n, kind) in a.iter(b.decode("latin-1")):
-        at = last - n + 1
-        end = VALIDATORS[kind](b, at)
-        if end is not None:
+        marks[kind].append(last - n + 1)
+        if kind in VALIDATORS:
+            hits.append((last - n + 1, kind))
+    found, done = [], dict.fromkeys(CHAINED, 0)
+    for at, kind in hits:
+        if at < done.get(kind, 0):
+            continue
+        end = VALIDATORS[kind](b, at, marks)
+        if kind in CHAINED and end is not None:
+            done[kind] = end if end >= 0 else ~end + 1
+        if end is not None and end >= 0:
             found.append((at, end, "audio/wav" if kind == "riff" else kind))
     return sorted(found)
 
