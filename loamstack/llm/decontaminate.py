@@ -23,6 +23,8 @@ MIN_WORDS, MIN_SAME = 10, 0.8
 MIN_ITEM = 5
 #: Words of benchmark items that are broadcast at once; more items are taken in blocks.
 BLOCK_WORDS = 2_000_000
+#: Hits of seeds that are expanded at once.
+HITS_AT_ONCE = 1 << 20
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(99))
 _WEIGHTS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
@@ -85,26 +87,30 @@ class Seeds:
             self.tables.append((mask, hs[order], np.concatenate(item)[order], np.concatenate(place)[order], bits))
 
     def hits(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (item, first word of the item in `words`) of all places with as many seed hits as an overlap has."""
-        found = []
+        """Distinct (item, first word of the item in `words`) of all places with as many seed hits as an overlap has. Seeds that the
+        benchmark repeats give many hits; they are counted in rounds of bounded size."""
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        width = len(words) + max((len(w) for w in self.words), default=0) + 1
         for mask, hs, item, place, bits in self.tables:
             h = seed_hashes(words, mask)
             maybe = np.flatnonzero(bits[(h >> _U(44)).astype(np.int64)])
             if not len(maybe):
                 continue
             lo, hi = np.searchsorted(hs, h[maybe], "left"), np.searchsorted(hs, h[maybe], "right")
-            n = hi - lo
-            if n.sum():
-                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append(np.stack([item[at], np.repeat(maybe, n) - place[at]], axis=1))
-        if not found:
-            return np.empty((0, 2), np.int64)
-        item, place = np.concatenate(found).T
-        base = int(place.min())
-        key, n = np.unique(item * (int(place.max()) - base + 1) + place - base, return_counts=True)
-        item, place = np.divmod(key, int(place.max()) - base + 1)
-        keep = n >= self.hits_needed[item]
-        return np.stack([item[keep], place[keep] + base], axis=1)
+            end = np.cumsum(hi - lo)
+            cut = [0, *np.searchsorted(end, np.arange(HITS_AT_ONCE, end[-1], HITS_AT_ONCE)).tolist(), len(maybe)]
+            for a, z in zip(cut[:-1], cut[1:], strict=True):
+                n = hi[a:z] - lo[a:z]
+                if not n.sum():
+                    continue
+                at = np.repeat(lo[a:z], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                # an item may begin before the words do
+                new, c = np.unique(item[at] * width + np.repeat(maybe[a:z], n) - place[at] + width - len(words) - 1, return_counts=True)
+                keys, where = np.unique(np.concatenate((keys, new)), return_inverse=True)
+                counts = np.bincount(where, np.concatenate((counts, c))).astype(np.int64)
+        item, place = np.divmod(keys, width)
+        keep = counts >= self.hits_needed[item] if len(keys) else np.zeros(0, bool)
+        return np.stack([item[keep], place[keep] - (width - len(words) - 1)], axis=1)
 
 
 def overlaps(texts: list[bytes], seeds: Seeds) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -130,8 +136,9 @@ def find_overlaps(df: DataFrame, items: DataFrame, id_col: str, text_col: str, i
 
     Words are runs of ASCII letters, digits and bytes beyond ASCII of the lower-cased text. An overlap is a run of words of the
     item, at one place of the document, with at least MIN_WORDS words (or all of a shorter item) of which MIN_SAME agree.
-    Null texts have no words; items under MIN_ITEM words never match. Repeated rows and ids give rows each; equal items
-    each match. Items are broadcast in blocks of bounded size, each against all documents.
+    Null and empty texts have no words; items under MIN_ITEM words never match. Repeated rows and ids give rows each; equal items
+    each match; of equally good places the first counts. Extra columns, also of the results' names, are not read; without documents or
+    items there is no row. Items are broadcast in blocks of bounded size, each against all documents.
     """
     sized = items.select(F.col(item_id).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     total = sized.agg(F.coalesce(F.sum(F.length("t") / 2), F.lit(0.0))).first()[0]
