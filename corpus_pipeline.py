@@ -17,9 +17,9 @@ NEAR = jaccard.Rule(k=5, num=4, den=5)
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is not among `ids`; only those that may be are shuffled."""
-    ids = materialise(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    maybe, sure = in_bitmap(docs, "doc_id", id_bitmap(ids, "_gone"))
-    return maybe.join(ids, maybe["doc_id"] == ids["_gone"], "left_anti").unionByName(sure)
+    ids = materialise(ids.select("doc_id").distinct(), "gone")
+    maybe, sure = in_bitmap(docs, "doc_id", id_bitmap(ids, "doc_id"))
+    return maybe.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(sure)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,21 +89,28 @@ def id_bitmap(ids: DataFrame, col: str) -> bytes:
     return bytes(out)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, made longer until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def in_bitmap(df: DataFrame, col: str, bitmap: bytes) -> tuple[DataFrame, DataFrame]:
     """(rows that may be in the bitmap, rows that surely are not); both read only what their plans need."""
     spark = df.sparkSession
     bits, zeros = 8 * len(bitmap), bytes(4096)
     blocks = [(i, bytearray(x)) for i in range(bits // _BITS_PER_ROW) if (x := bitmap[i * 4096 : (i + 1) * 4096]) != zeros]
-    small = spark.createDataFrame(blocks, "_block int, _bits binary")  # 16 MB at most
-    slot = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
-    marked = df.withColumn("_slot", slot).join(
-        F.broadcast(small), F.floor(F.col("_slot") / _BITS_PER_ROW).cast("int") == F.col("_block"), "left"
-    )
-    at = (F.col("_slot") % _BITS_PER_ROW).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    slot, block, held, hit = (fresh(df, n) for n in ("_slot", "_block", "_bits", "_hit"))
+    small = spark.createDataFrame(blocks, f"{block} int, {held} binary")  # 16 MB at most
+    marked = df.withColumn(slot, F.pmod(F.xxhash64(F.col(col)), F.lit(bits)))
+    marked = marked.join(F.broadcast(small), F.floor(F.col(slot) / _BITS_PER_ROW).cast("int") == F.col(block), "left")
+    at = (F.col(slot) % _BITS_PER_ROW).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(held), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.coalesce(F.getbit(byte.cast("long"), at % 8), F.lit(0)) == 1
-    marked = marked.withColumn("_hit", bit).drop("_slot", "_block", "_bits")
-    return marked.filter("_hit").drop("_hit"), marked.filter("NOT _hit").drop("_hit")
+    marked = marked.withColumn(hit, bit).drop(slot, block, held)
+    return marked.filter(F.col(hit)).drop(hit), marked.filter(~F.col(hit)).drop(hit)
 
 
 #: Of all rows, a key with more than one in so many is hot. There are fewer such keys than this.

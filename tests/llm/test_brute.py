@@ -130,3 +130,166 @@ def test_taken_like_all_pairs():
             if free:
                 taken.add(c)
                 spans.append(c)
+
+
+def naive_pieces(b):
+    """Every magic by plain search, without the automaton; of formats that repeat their magic, those outside the piece before."""
+    from loamstack.llm import media
+
+    where = lambda x: [i for i in range(len(b)) if b.startswith(x, i)]
+    marks = {k: where(m) for m, k in media.TRAILERS} | {k: sorted(p for m, kind in media.SIGNATURES if kind == k for p in where(m)) for _, k in media.SIGNATURES}
+    out = []
+    for kind in {k for _, k in media.SIGNATURES}:
+        done = 0
+        for at in marks[kind]:
+            if kind not in media.CHAINED or at >= done:
+                end = media.VALIDATORS[kind](b, at, marks)
+                if end is not None and end >= 0:
+                    out.append((at, end, "audio/wav" if kind == "riff" else kind))
+                    done = end
+    return sorted(out)
+
+
+def ogg_pages(n):
+    return b"".join(b"OggS\0" + bytes(21) + b"\x02" + bytes([3, 5]) + b"a" * 8 for _ in range(n))
+
+
+def test_sniff_like_naive_search():
+    import gzip
+    import io
+    import zipfile
+
+    from loamstack.llm import media
+
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a.txt", "one" * 30)
+        z.writestr("b.txt", "two")
+    pdf = b"%PDF-1.4 body startxref 9 %%EOF more startxref 30 %%EOF"
+    flac = b"fLaC" + b"\0\0\0\x22" + bytes(34) + b"\x84\0\0\x04" + bytes(4) + b"\xff\xf8" + bytes(20)
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x04cd" + b"scan" + b"\xff\xd9"
+    pieces = [box.getvalue(), pdf, ogg_pages(4), gzip.compress(b"hello"), media.to_wav(b"abc"), jpeg, ogg_pages(3)[:-2], b"PK\x03\x04", b"BM", b"%PDF-"]
+    r, a = random.Random(8), media.automaton()
+    for _ in range(60):
+        b = b"".join(r.choice(pieces) + bytes(r.randrange(97, 120) for _ in range(r.randint(0, 5))) for _ in range(r.randint(1, 6)))
+        assert media.sniff(b, a) == naive_pieces(b)
+    got = media.sniff(b"x" + box.getvalue() + b"y" + ogg_pages(4) + b"z" + pdf + b"..", a)
+    assert [(e - s, k) for s, e, k in got] == [(len(box.getvalue()), "application/zip"), (len(ogg_pages(4)), "audio/ogg"), (len(pdf), "application/pdf")]
+    assert media.sniff(flac, a) == [(0, len(flac), "audio/flac")] and media.sniff(b"fLaC" + bytes(60), a) == []
+
+
+def test_op4_query(spark):
+    import zlib
+
+    from loamstack.llm import media
+
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op4_media_samples(spark, SF).collect()
+    assert len(got) == len(text)
+    for r in got:
+        raw = text[r["doc_id"]]
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        wav = media.to_wav(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"], r["media_type"]) == (len(wav), hashlib.sha256(wav).hexdigest(), "audio/wav") and r["feature"]
+
+
+def test_op6_query(spark, tmp_path):
+    import base64
+
+    r = random.Random(3)
+    bodies = ["", None, "x", "é" * 10, "<p>" + "a" * 3000, "WARC/1.0\r\n\r\n", "\n\n"]
+    rows = [(i, f"http://h{i % 5}.net/{i} b\n", r.choice(bodies) if i % 3 else f"own {i}") for i in range(120)]
+    folder = tables(tmp_path, pages=spark.createDataFrame(rows, "page_id long, url string, html string"))
+    payload = {i: (h or "").encode() for i, _, h in rows}
+    last = {}
+    for i, p in payload.items():
+        last[p] = max(i, last.get(p, i))
+    want = {(i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if last[p] == i else "revisit", None if last[p] == i else last[p]) for i, p in payload.items()}
+    assert {(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in queries.op6_warc_convert(spark, folder).collect()} == want
+
+
+def test_op9_query(spark):
+    from loamstack.llm import jaccard
+    from test_llm import brute_components
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op9_jaccard_join(spark, SF).collect()}
+    assert got == brute_components(docs, jaccard.Rule(4, 85, 100))
+
+
+def test_op10_query(spark, tmp_path, monkeypatch):
+    """All documents against all items at every place, with words replaced; also with few hits at once and several blocks of items."""
+    from loamstack.llm import decontaminate
+    from test_llm import brute_overlap
+
+    r = random.Random(9)
+    say = lambda n: [f"w{r.randrange(60)}" for _ in range(n)]
+    items = [(i, " ".join(say(r.choice([3, 5, 6, 9, 12, 25])))) for i in range(12)] + [(50, None), (51, "")]
+    items += [(52, items[3][1])]
+    docs = [(i, " ".join(say(r.randint(0, 9)) + [w if r.random() > 0.15 else "zz" for w in r.choice(items[:12])[1].split()] + say(r.randint(0, 5)))) for i in range(80)] + [(90, None), (91, ""), (92, items[5][1].upper()), (92, items[5][1].upper())]
+    folder = tables(tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string").withColumn("words", F.lit("x")), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    cut = lambda t: re.findall("[0-9a-z]+", (t or "").lower())
+    want = sorted((d, i) for d, t in docs for i, x in items if len(cut(x)) >= 5 and brute_overlap(cut(t), cut(x)))
+    for at_once, block in ((1 << 20, 2_000_000), (7, 40)):
+        monkeypatch.setattr(decontaminate, "HITS_AT_ONCE", at_once)
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+        assert sorted((x["doc_id"], x["item_id"]) for x in queries.op10_spaced_seeds(spark, folder).collect()) == want
+
+
+def test_em_like_plain_em(spark):
+    """Shares of a mixture of two known models, against a direct search over the share; each language of the set is needed."""
+    from loamstack.llm import langid
+
+    r = np.random.default_rng(5)
+    counts = np.zeros((3, langid.BUCKETS))
+    for k in range(3):
+        counts[k, r.integers(0, langid.BUCKETS, 400)] += r.integers(1, 50, 400)
+    m = langid.Model.of(["a", "b", "c"], counts)
+    u = np.unique(np.concatenate([np.flatnonzero(counts[0])[:200], np.flatnonzero(counts[1])[:120]]))
+    c = (counts[0][u] + counts[1][u]).astype(float)
+    p = m.p[u][:, :2].astype(float)
+    share, ll = m._em(p, c, 500)
+    grid = np.linspace(0.001, 0.999, 999)
+    best = max(grid, key=lambda x: float(c @ np.log(p @ np.array([x, 1 - x]))))
+    assert abs(share[0] - best) < 0.01 and abs(share.sum() - 1) < 1e-9 and ll >= max(float(c @ np.log(p @ np.array([x, 1 - x]))) for x in grid) - 0.5
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables(spark, tmp_path, name):
+    """Each query on tables without rows."""
+    folder = tables(tmp_path, **{t: spark.read.parquet(f"{SF}/{t}.parquet").limit(0) for t in ("documents", "pages", "benchmark", "conversations")})
+    assert queries.QUERIES[name](spark, folder).count() == 0
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Null, empty, repeated and clashing: each stage of the pipeline keeps its columns and does not stop."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = max((r["text"] for r in bench.collect()), key=len)
+    rows = [(1, None, None, None, None), (1, "", "en", "s", 0), (2, "the same words again and again here", "en", "s", 5), (2, "the same words again and again here", "en", "s", 5), (None, "call +1 (663) 555-6869 or the other", None, "s", 9), (3, item, "en", "s", 5), (4, "see " * 30000, "en", "s", 5)]
+    odd = spark.createDataFrame(rows, docs.schema).withColumns({c: F.lit(1) for c in ("row", "known", "root", "_hit", "words", "piece")})
+    for df in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, SF)
+            assert name == "packing" or out.columns == df.columns
+            got = out.collect()
+            if df is odd and name == "near_duplicates":
+                assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 1, 2, 3, 4]
+            if df is odd and name == "benchmark_overlaps":
+                assert 3 not in {r["doc_id"] for r in got} and len(got) == len(rows) - 1
+            if df is odd and name == "personal_data":
+                assert len(got) == len(rows) and "call [PHONE] or the other" in {r["text"] for r in got}
+
+
+def test_benchmark_stage_like_brute_force(spark):
+    import corpus_pipeline
+    from test_llm import brute_overlap
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars < 1500").limit(60)
+    cut = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    items = [cut(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = {r["doc_id"] for r in docs.collect() if not any(len(x) >= 5 and brute_overlap(cut(r["text"]), x) for x in items)}
+    assert {r["doc_id"] for r in corpus_pipeline.benchmark_overlaps(spark, docs, SF).select("doc_id").collect()} == want
