@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import BASE, SPACE, U, in_pieces, mix, shingles, word_hashes
-from .common import components, giving_back, id_bitmap, in_bitmap, materialise, small_batches
+from .common import components, giving_back, id_bitmap, in_bitmap, join_counted, materialise, small_batches
 
 #: Coordinates of a count vector, members of a leaf and children of a node of the R-tree.
 GROUPS, LEAF, FAN = 16, 16, 16
 #: Shingles that one bucket counts, about, and bytes of sets in one side of a tile.
-BUCKET_TOKENS, TILE_BYTES = 1_500_000, 24 << 20
+BUCKET_TOKENS, TILE_BYTES = 250_000, 24 << 20
 
 
 @dataclass(frozen=True)
@@ -127,6 +127,13 @@ def spanning_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
     return out
 
 
+def class_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, whatever its order; 0 for the empty set."""
+    if not len(s):
+        return 0, 0
+    return tuple(int((mix(s * U(m) + U(1)).sum(dtype=np.uint64) ^ U(len(s))).view(np.int64)) for m in (1, 0xD6E8FEB86659FD93))
+
+
 def _sketches(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
     """For each row: set size, class key (equal sets, equal keys), prefix length, watched shingles and, where they are fewer than
     the prefix, further shingles in hash order."""
@@ -142,18 +149,38 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFram
                     w = s[(s & U(0xFFFF)) < watched]
                     p = rule.prefix(len(s)) if len(s) else 0
                     more = s[(s & U(0xFFFF)) >= watched][: p - len(w)] if len(w) < p else s[:0]
-                    key = int((mix(s + U(1)).sum(dtype=np.uint64) ^ U(len(s))).view(np.int64)) if len(s) else 0
-                    rows.append((len(s), key, p, len(w), w.tobytes(), more.tobytes()))
+                    rows.append((len(s), *class_key(s), p, len(w), w.tobytes(), more.tobytes()))
                 cols = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", "n", "key", "p", "nw", "watched", "more"])
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", "n", "key", "key2", "p", "nw", "watched", "more"])
+
+    return src.mapInArrow(giving_back(sketch), "id long, n long, key long, key2 long, p int, nw int, watched binary, more binary")
+
+
+#: Of a shingle's hash its first 56 bits travel, of a class's key 48. Hashes or keys that agree so far by chance count as equal there,
+#: which only lets more sets meet.
+_SHORT_KEY = (1 << 48) - 1
+
+
+def _packed(tokens: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """13 bytes for each pair."""
+    out = np.empty((len(tokens), 13), np.uint8)
+    out[:, :7] = tokens.view(np.uint8).reshape(-1, 8)[:, 1:]
+    out[:, 7:] = keys.view(np.uint8).reshape(-1, 8)[:, :6]
+    return out
+
 
-    return src.mapInArrow(giving_back(sketch), "id long, n long, key long, p int, nw int, watched binary, more binary")
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 13)
+    tokens, keys = np.zeros((len(x), 8), np.uint8), np.zeros((len(x), 8), np.uint8)
+    tokens[:, 1:], keys[:, :6] = x[:, :7], x[:, 7:]
+    return tokens.view(np.uint64).ravel(), keys.view(np.int64).ravel()
 
 
 def _shared_tokens(sketches: DataFrame, tokens: int) -> DataFrame:
-    """(token, key, df) of watched shingles that at least two classes have. Hashes travel packed, in buckets of about equal
-    size; a task sends those of a class once, however many copies of it there are."""
+    """(rank, key) of watched shingles that at least two classes have. A rank is the logarithm of the shingle's frequency, then
+    its hash. Hashes travel packed and sorted, in ranges of about equal size; a task sends those of a class once, however many
+    copies of it there are."""
     buckets = max(8, -(-tokens // BUCKET_TOKENS))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +190,11 @@ def _shared_tokens(sketches: DataFrame, tokens: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             t, k = np.concatenate(parts), np.concatenate(keys)
-            to = ((t >> U(20)) % U(buckets)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            t, k, to = t[order], k[order], to[order]
+            order = np.argsort(t)
+            x = _packed(t[order], k[order])
+            to = (((t[order] >> U(32)) * U(buckets)) >> U(32)).astype(np.int32)
             cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True])))
-            blobs = [t[a:e].tobytes() + k[a:e].tobytes() for a, e in zip(cut[:-1], cut[1:], strict=True)]
+            blobs = [x[a:e].tobytes() for a, e in zip(cut[:-1], cut[1:], strict=True)]
             parts.clear()
             keys.clear()
             return pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
@@ -188,8 +215,7 @@ def _shared_tokens(sketches: DataFrame, tokens: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            t = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in blobs])
-            k = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in blobs])
+            t, k = _unpacked(blobs)
             order = np.argsort(t, kind="stable")
             t, k = t[order], k[order]
             first = np.concatenate(([True], t[1:] != t[:-1]))
@@ -203,9 +229,10 @@ def _shared_tokens(sketches: DataFrame, tokens: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True]))) if len(t) else np.zeros(1, np.int64)
             n = np.diff(first)
             df = np.repeat(n, n)
-            t, k, df = t[df > 1], k[df > 1], df[df > 1]
-            for a in range(0, len(t), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (t.view(np.int64), k, df.astype(np.int64))], names=["token", "key", "df"])
+            rank = (np.log2(df[df > 1]).astype(np.int64) << 56) | (t[df > 1] >> U(8)).view(np.int64)
+            k = k[df > 1]
+            for a in range(0, len(k), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (rank, k)], names=["rank", "key"])
 
         held, now = [], None
         for b in batches:
@@ -219,74 +246,77 @@ def _shared_tokens(sketches: DataFrame, tokens: int) -> DataFrame:
             yield from close(held)
 
     packed = sketches.select("key", "watched").mapInArrow(giving_back(scatter), "bucket int, blob binary")
-    return packed.repartition(max(8, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(count), "token long, key long, df long")
+    return packed.repartition(max(8, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(count), "rank long, key long")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """(id, n_shingles, component_id): component_id is the least id reachable by links.
 
-    Equal sets are one class. Classes that can link share a shingle among their rarest (a prefix in the order: watched
-    shingles by frequency, then the others by hash), so components of that sharing are blocks that lose no link. In a
+    Equal sets, by keys of 128 bits, are one class. Classes that can link share a shingle among their rarest (a prefix in the order: watched
+    shingles by frequency, then the others by hash), so components of that sharing are blocks that lose no link (classes whose short keys agree by chance share a block). In a
     block the R-tree proposes and exact intersections decide; a large block is cut into parts, and every two parts meet
     in a task. Null and empty texts have no shingles and no links. Ids may repeat, also with other texts, and then share
     components; rows with a null id link nothing and have a null component. An empty table gives an empty result.
     """
     s = materialise(_sketches(df, id_col, text_col, rule), "sketches")
     full = s.filter("n > 0 AND id IS NOT NULL")
-    classes = full.groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("p").alias("p"), F.min("nw").alias("nw"))
+    both = ["key", "key2"]
+    classes = materialise(full.groupBy(*both).agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("p").alias("p"), F.min("nw").alias("nw"), F.count(F.lit(1)).alias("copies"), F.min("more").alias("more")), "classes")
     tokens = s.agg(F.coalesce(F.sum("nw"), F.lit(0))).first()[0]
-    shared = _shared_tokens(full, tokens).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))  # a set's own shingles
-    extra = full.filter("length(more) > 0").groupBy("key").agg(F.min("more").alias("more"))
-    rare = classes.select("key", "p", "nw").join(shared, "key", "left").join(extra, "key", "left")
+    shared = _shared_tokens(full, tokens).groupBy("key").agg(F.sort_array(F.collect_list("rank")).alias("shared"))  # a set's own shingles
+    short = F.col("key").bitwiseAND(F.lit(_SHORT_KEY))
+    rare = classes.select(short.alias("key"), "p", "nw", F.when(F.length("more") > 0, F.col("more")).alias("more")).join(shared, "key", "left")
     want = F.col("p") - (F.col("nw") - F.coalesce(F.size("shared"), F.lit(0)))
     rare = rare.withColumn("want", F.when(F.col("shared").isNull(), F.lit(0)).otherwise(F.greatest(want, F.lit(0)))).filter("want > 0 OR more IS NOT NULL")
-    known = rare.filter("want > 0").select("key", F.explode(F.slice("shared", F.lit(1), F.col("want"))["token"]).alias("token"))
+    known = rare.filter("want > 0").select("key", F.explode(F.slice("shared", F.lit(1), F.col("want"))).alias("token"))
     unknown = rare.filter("more IS NOT NULL").select("key", "more").mapInArrow(giving_back(_unpack), "key long, token long")
     at = materialise(known.unionByName(unknown), "rare-shingles")
     hubs = at.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("other")).filter("hub <> other").drop("other")
     blocks = components(at.join(hubs, "token").select("key", "hub"), "key", "hub")
-    members = materialise(classes.join(blocks, classes["key"] == blocks["id"]).select("rep", "key", "n", F.col("root").alias("block")), "members")
+    members = materialise(classes.join(blocks, short == blocks["id"]).select("rep", *both, "n", F.col("root").alias("block")), "members")
     sized = members.groupBy("block").agg(F.ceil(F.sum(F.col("n") * 8) / TILE_BYTES).cast("int").alias("parts"))
     members = members.join(sized, "block").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     docs, _ = in_bitmap(df.select(df[id_col].cast("long").alias("rep"), df[text_col].alias("text")), "rep", id_bitmap(members, "rep"))
-    sets = docs.join(members, "rep").select("block", "parts", "part", "rep", "key", "text")
+    sets = docs.join(members, "rep").select("block", "parts", "part", "rep", *both, "text")
     k = rule.k
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                blobs = [x.tobytes() for x in sets_of(part.column(5).to_pylist(), k)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(blobs, pa.binary())], names=["block", "parts", "part", "rep", "key", "blob"])
+                blobs = [x.tobytes() for x in sets_of(part.column(6).to_pylist(), k)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(blobs, pa.binary())], names=["block", "parts", "part", "rep", *both, "blob"])
 
-    sets = sets.mapInArrow(giving_back(to_sets), "block long, parts int, part int, rep long, key long, blob binary")
+    sets = sets.mapInArrow(giving_back(to_sets), "block long, parts int, part int, rep long, key long, key2 long, blob binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    tiles = sets.withColumn("other", other).select("block", F.least("part", "other").alias("ti"), F.greatest("part", "other").alias("tj"), "rep", "key", "blob")
+    tiles = sets.withColumn("other", other).select("block", F.least("part", "other").alias("ti"), F.greatest("part", "other").alias("tj"), "rep", *both, "blob")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(group: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        def close(group: dict[tuple[int, int], tuple[int, np.ndarray]]) -> pa.RecordBatch:
             reps = [r for r, _ in group.values()]
             found = spanning_links([x for _, x in group.values()], rule)
             return pa.RecordBatch.from_arrays([pa.array([reps[i] for i, _ in found], pa.int64()), pa.array([reps[j] for _, j in found], pa.int64())], names=["a", "b"])
 
         now, group = None, {}
         for b in batches:
-            for block, ti, tj, rep, key, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for block, ti, tj, rep, key, key2, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (block, ti, tj) != now:
                     if len(group) > 1:
                         yield close(group)
                     now, group = (block, ti, tj), {}
                 x = np.frombuffer(blob, np.uint64)
-                if int((mix(x + U(1)).sum(dtype=np.uint64) ^ U(len(x))).view(np.int64)) == key:  # not another text of the same id
-                    group[key] = (rep, x)
+                if class_key(x) == (key, key2):  # not another text of the same id
+                    group[key, key2] = (rep, x)
         if len(group) > 1:
             yield close(group)
 
     dealt = tiles.repartition("block", "ti", "tj").sortWithinPartitions("block", "ti", "tj", "rep")
     links = components(dealt.mapInArrow(giving_back(resolve), "a long, b long"), "a", "b")
-    roots = classes.join(links, classes["rep"] == links["id"], "left").select(F.col("key"), F.coalesce("root", "rep").alias("root"))
-    mine = s.select("id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key"))
-    out = mine.join(roots, "key", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
+    roots = classes.join(links, classes["rep"] == links["id"], "left").select(*both, "copies", F.coalesce("root", "rep").alias("root"))
+    mine = s.select("id", "n", *both)
+    linked = join_counted(mine.filter("n > 0 AND id IS NOT NULL"), materialise(roots, "roots"), both, "copies", s.count())
+    alone = mine.filter("NOT (n > 0 AND id IS NOT NULL)").withColumn("root", F.col("id"))
+    out = linked.select("id", "n", "root").unionByName(alone.select("id", "n", "root")).select("id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
     return out.withColumnRenamed("id", id_col)
 
 
