@@ -93,6 +93,9 @@ _NAMES = r"(?:passw(?:or[dt]|d)|pwd|secret|token|key|contraseña|clave|passe|bea
 _GIVEN = re.compile(_NAMES + r"\s*[:= ]\s*[\"']?([^\s\"',;]{6,}+)", re.I)
 _ANNOUNCED = re.compile(_NAMES + r"\s{0,3}[:=]\s{0,3}[\"']?\Z", re.I)
 _OPAQUE = re.compile(r"[A-Za-z0-9_+/=-]{16,}+")
+#: Without any of these, lower-cased, the words above are not there.
+_STEMS = ("pass", "pwd", "secret", "token", "key", "contrase", "clave", "bearer", "credential")
+_DIGIT = re.compile("[0-9]")
 
 #: Words that announce each kind in the four languages at hand.
 CUES = {
@@ -134,9 +137,10 @@ def _run_spans(text: str, start: int, end: int) -> Iterator[Span]:
 
 
 def _secret_spans(text: str) -> Iterator[Span]:
-    for m in _GIVEN.finditer(text):
+    low = text.lower()
+    for m in _GIVEN.finditer(text) if any(x in low for x in _STEMS) else ():
         yield m.start(1), m.end(1), "secret"
-    for m in _OPAQUE.finditer(text):
+    for m in _OPAQUE.finditer(text) if _DIGIT.search(text) else ():
         digits = sum(c.isdigit() for c in m[0])
         if digits and digits < len(m[0]):
             at = m.start() + max(0, m[0].rstrip("=").rfind("=") + 1)  # a name and = may stand before it
