@@ -54,8 +54,7 @@ def normalise_dashes(x: Column | str) -> Column:
 def guess_units(*texts: Column | str) -> Column:
     """The first short bracketed part that holds a unit."""
     parts = F.flatten(F.array(*(F.coalesce(all_matches(t, r"[（(]([^（()）]{1,20})[)）]", 1), F.array().cast("array<string>")) for t in texts)))
-    unit = "|".join(u.replace("°", "\\u00b0") for u in V.UNITS)
-    return F.get(F.filter(parts, lambda p: p.rlike(unit)), F.lit(0))
+    return F.get(F.filter(F.transform(parts, strip), lambda p: p.rlike("|".join(V.UNITS))), F.lit(0))
 
 
 def clean_header(x: Column | str) -> Column:
@@ -119,17 +118,20 @@ def label(kind: Column | str, num: Column | str) -> Column:
 
 
 def heading_kind(text: Column | str, x0: Column | str) -> Column:
-    """Chapter or section heading, else null: no clause, table or figure title, no closing mark, at most 30 characters, not indented beyond 200."""
+    """Chapter or section heading, else null: centred (beyond 200), no clause, table or figure title, no closing mark, at most 30
+    characters, the title begins with an ideograph."""
     t = strip(text)
-    no = t.rlike(UNI + V.CLAUSE) | t.rlike(UNI + V.TABLE_TITLE) | t.rlike(UNI + V.FIGURE_TITLE) | t.rlike("[。；，：、;,:]$") | (F.char_length(t) > 30) | (_c(x0) > 200)
+    no = t.rlike(UNI + V.CLAUSE) | t.rlike(UNI + V.TABLE_TITLE) | t.rlike(UNI + V.FIGURE_TITLE) | t.rlike("[。；，：;,]$") | (F.char_length(t) > 30) | (_c(x0) <= 200)
     han = "^[\u4e00-\u9fff]"
     section, chapter = first_group(t, V.SECTION, 2), first_group(t, V.CHAPTER, 2)
     return F.when(no, F.lit(None)).when(strip(section).rlike(han), "section").when(strip(chapter).rlike(han) & (F.char_length(t) <= 25), "chapter")
 
 
 def split_heading(text: Column | str) -> Column:
-    """(num, title) of a heading."""
-    return F.struct(F.regexp_extract(strip(text), r"(?U)^(\d+(?:\.\d+)?)\s*(.*)$", 1).alias("num"), F.regexp_extract(strip(text), r"(?U)^(\d+(?:\.\d+)?)\s*(.*)$", 2).alias("title"))
+    """(num, title) of a heading; without a number, all of it is the title."""
+    t = strip(text)
+    part = lambda g: F.coalesce(first_group(t, V.SECTION, g), first_group(t, V.CHAPTER, g))
+    return F.struct(F.coalesce(part(1), F.lit("")).alias("num"), strip(F.coalesce(part(2), t)).alias("title"))
 
 
 def clause_number(text: Column | str) -> Column:
@@ -149,29 +151,29 @@ def line_class(text: Column | str) -> Column:
 
 
 def explanation_targets(x: Column | str) -> Column:
-    """Clause numbers that the first sentence names, ranges written out; ranges first, then the others, each once."""
+    """Clause numbers that the head of an explanation names, ranges written out; ranges first, then all numbers, each once."""
     head = F.substring(F.split(_c(x), "[。\n]")[0], 1, 60)
-    pattern = r"(\d+\.\d+)\.(\d+)\s*[~～\-—至]\s*(\d+\.\d+)\.(\d+)"
-    whole = all_matches(head, pattern, 0)
+    pattern = r"(\d+\.\d+)\.(\d+)\s*[~～]\s*(?:\d+\.\d+\.)?(\d+)"
     part = lambda s, g: F.regexp_extract(s, UNI + pattern, g)
-    ranges = F.transform(whole, lambda s: F.when(
-        (part(s, 1) == part(s, 3)) & (part(s, 2).cast("int") <= part(s, 4).cast("int")),
-        F.transform(F.sequence(part(s, 2).cast("int"), F.greatest(part(s, 2).cast("int"), part(s, 4).cast("int"))), lambda i: F.concat(part(s, 1), F.lit("."), i.cast("string"))),
+    first, last = (lambda s: part(s, 2).cast("int")), (lambda s: part(s, 3).cast("int"))
+    ranges = F.transform(all_matches(head, pattern, 0), lambda s: F.when(
+        first(s) <= last(s), F.transform(F.sequence(first(s), F.greatest(first(s), last(s))), lambda i: F.concat(part(s, 1), F.lit("."), i.cast("string"))),
     ).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.concat(F.flatten(ranges), all_matches(head, r"(?<![\d.])(\d+\.\d+\.\d+)(?!\d)", 1)))
+    return F.array_distinct(F.concat(F.flatten(ranges), all_matches(head, r"\d+\.\d+\.\d+")))
 
 
-def where_blocks(x: Column | str) -> Column:
-    """The parts after each 式中, without empty ones."""
-    return F.filter(F.transform(F.slice(F.split(_c(x), r"(?U)式中\s*[：:]?"), F.lit(2), F.greatest(F.lit(1), F.char_length(_c(x)))), strip), lambda v: v != "")
+def variables(x: Column | str) -> Column:
+    """Symbol, meaning and unit of each `symbol——meaning；`. The unit is what the meaning's first brackets hold, if that is one."""
+    pattern = r"([A-Za-z\u0370-\u03ff][A-Za-z0-9\u0370-\u03ff]*)\s*——\s*([^；;]+)"
+    bracket = lambda m: first_group(m, r"[（(]([^（()）]{1,12})[)）]")
+    found = F.transform(all_matches(x, pattern, 0), lambda s: F.struct(F.regexp_extract(s, UNI + pattern, 1).alias("symbol"), strip(F.regexp_extract(s, UNI + pattern, 2)).alias("meaning")))
+    return F.transform(found, lambda v: F.struct(v["symbol"].alias("symbol"), v["meaning"].alias("meaning"), F.when(bracket(v["meaning"]).rlike("|".join(V.VARIABLE_UNITS)), bracket(v["meaning"])).alias("unit")))
 
 
-def variables(x: Column | str) -> Column:
-    """Symbol, meaning and unit of each `symbol——meaning；`."""
-    pattern = r"([A-Za-z\u0370-\u03ff][A-Za-z0-9\u0370-\u03ff']*)\s*(?:——|--|—)\s*([^；;。\n]+)"
-    return F.transform(all_matches(x, pattern, 0), lambda s: F.struct(
-        F.regexp_extract(s, UNI + pattern, 1).alias("symbol"), strip(F.regexp_replace(F.regexp_extract(s, UNI + pattern, 2), "[（(][^（()）]*[)）]\\s*$", "")).alias("meaning"),
-        first_group(s, r"[（(]([^（()）]{1,20})[)）]\s*$").alias("unit")))
+def where_blocks(x: Column | str) -> Column:
+    """The variables of each part after 式中：, without parts that name none."""
+    parts = F.slice(F.split(_c(x), UNI + r"式中\s*[：:]"), F.lit(2), F.greatest(F.lit(1), F.char_length(_c(x))))
+    return F.filter(F.transform(parts, variables), lambda v: F.size(v) > 0)
 
 
 def formula_text(num: Column | str, found: Column | str) -> Column:
@@ -181,9 +183,9 @@ def formula_text(num: Column | str, found: Column | str) -> Column:
 
 
 def structural_keywords(num: Column | str, section: Column | str) -> Column:
-    """Number, 第n条, section code."""
+    """Number, 第n条, the section's first word."""
     n = F.nullif(_c(num), F.lit(""))
-    return F.array_compact(F.array(n, F.concat(F.lit("第"), n, F.lit("条")), F.nullif(F.regexp_extract(_c(section), r"^(\d+(?:\.\d+)?)", 1), F.lit(""))))
+    return F.array_compact(F.array(n, F.concat(F.lit("第"), n, F.lit("条")), F.nullif(F.split(strip(F.coalesce(_c(section), F.lit(""))), r"(?U)\s+")[0], F.lit(""))))
 
 
 def key_candidates(x: Column | str) -> Column:
@@ -193,7 +195,7 @@ def key_candidates(x: Column | str) -> Column:
     return F.array_distinct(F.concat(all_matches(x, V.MODEL_KEY), F.transform(ranked, lambda s: s["n"])))
 
 
-def bigrams(x: Column | str, keep: str = r"[^0-9A-Za-z\u0370-\u03ff\u4e00-\u9fff]") -> Column:
+def bigrams(x: Column | str, keep: str = r"[^0-9A-Za-z\u4e00-\u9fff]") -> Column:
     """Distinct pairs of neighbouring kept characters."""
     t = F.regexp_replace(F.coalesce(_c(x), F.lit("")), keep, "")
     n = F.char_length(t)
@@ -314,19 +316,23 @@ def system_prompt(standards: list[tuple[str, str]], detail: str = "brief") -> st
 def escape_html(x: Column | str) -> Column:
     """Markup characters as entities."""
     out = _c(x)
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
-#: Commands of formulas and the characters they stand for.
-TEX = {r"\\alpha": "α", r"\\beta": "β", r"\\gamma": "γ", r"\\eta": "η", r"\\lambda": "λ", r"\\mu": "μ", r"\\phi": "φ", r"\\varphi": "φ", r"\\leq?(?![a-z])": "≤", r"\\geq?(?![a-z])": "≥", r"\\times": "×", r"\\cdot": "·", r"\\sum": "∑"}
+#: Commands of formulas and what is shown for them, in order.
+TEX = [
+    (r"\$\$?([^$]+)\$\$?", "$1"), (r"\\frac\{([^{}]+)\}\{([^{}]+)\}", "$1/$2"), (r"\\(?:varphi|phi)\b", "φ"), (r"\\lambda\b", "λ"), (r"\\beta\b", "β"), (r"\\mu\b", "μ"), (r"\\gamma\b", "γ"),
+    (r"\\sum\b", "∑"), (r"\\times\b", "×"), (r"\\cdot\b", "·"), (r"\\leqslant|\\leq\b|\\le\b", "≤"), (r"\\geqslant|\\geq\b", "≥"), (r"\\text\{([^{}]*)\}", "$1"), (r"\\mathrm\{([^{}]*)\}", "$1"),
+    (r"\\left|\\right", ""), (r"\\([a-zA-Z]+)", "$1"), (r"_\{([^{}]+)\}", "$1"), (r"\^\{([^{}]+)\}", "^$1"),
+]
 
 
 def tex_to_text(x: Column | str) -> Column:
-    """Fractions as (a)/(b), then symbols."""
-    out = F.regexp_replace(_c(x), r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "($1)/($2)")
-    for a, b in TEX.items():
+    """Formulas as plain text; other commands keep their names."""
+    out = _c(x)
+    for a, b in TEX:
         out = F.regexp_replace(out, a, b)
     return out
 

@@ -107,12 +107,22 @@ def citations(answers: DataFrame) -> DataFrame:
 
 def attributed(cites: DataFrame, answers: DataFrame, codes: DataFrame) -> DataFrame:
     """Adds standard_id and `known`: the nearest standard code before a citation; null and known without any code before,
-    null and not known if that code is of none of `codes` (standard_code, standard_id)."""
+    null and not known if that code is of none of `codes` (standard_code, standard_id, and q_id where each answer has its own)."""
     squeeze = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
     marks = answers.select("q_id", F.explode(positions(F.col("answer"), V.STANDARD_CODE)).alias("m")).select("q_id", F.col("m.start").alias("code_at"), squeeze(F.col("m.match")).alias("code"))
     x = as_of(cites, marks, "q_id", "at", "code_at", "code")
-    c = codes.select(squeeze(F.col("standard_code")).alias("code"), "standard_id").distinct()
-    return x.join(F.broadcast(c), "code", "left").withColumn("known", F.col("code").isNull() | F.col("standard_id").isNotNull())
+    on = ["q_id", "code"] if "q_id" in codes.columns else ["code"]
+    c = codes.withColumn("code", squeeze(F.col("standard_code"))).groupBy(*on).agg(F.max("standard_id").alias("standard_id"))
+    return x.join(c, on, "left").withColumn("known", F.col("code").isNull() | F.col("standard_id").isNotNull())
+
+
+def named_in(blocks: DataFrame) -> DataFrame:
+    """(q_id, standard_id, type, num) that the texts of blocks cite."""
+    out = None
+    for kind, pattern in V.CITATIONS:
+        x = blocks.select("q_id", "standard_id", F.lit(kind).alias("type"), F.explode(X.all_matches("text", pattern, 1)).alias("num"))
+        out = x if out is None else out.unionByName(x)
+    return out.withColumn("num", F.regexp_replace("num", r"(?U)\s+", "")).distinct()
 
 
 def verdicts(cites: DataFrame, allowed: DataFrame, mentioned: DataFrame) -> DataFrame:

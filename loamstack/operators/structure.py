@@ -36,7 +36,7 @@ def without_page_numbers(lines: DataFrame) -> DataFrame:
 def repair_broken_lines(lines: DataFrame) -> DataFrame:
     """L3: a line that ends in an open （图, （表 or （式 goes on in the next, if that starts with a number and ）. Chains join."""
     w = Window.partitionBy("doc_id", "page").orderBy("seq")
-    broken = F.lag("text").over(w).rlike(X.UNI + r"（[图表式]\s*$") & F.col("text").rlike(r"^\s*[A-Z]?\.?\d+(?:\.\d+)*(?:-\d+)?\s*）")
+    broken = F.lag("text").over(w).rlike(X.UNI + r"[（(][图表式]$") & F.col("text").rlike(r"^[A-Z]?\.?\d+(?:\.\d+)*(?:-\d+)?\s?[）)]")
     x = run_id(lines.withColumn("_new", ~F.coalesce(broken, F.lit(False))), ["doc_id", "page"], ["seq"], F.col("_new"))
     s = F.sort_array(F.collect_list(F.struct("seq", "text")))
     return x.groupBy("doc_id", "page", "run").agg(F.min("seq").alias("seq"), F.array_join(s["text"], "").alias("text"), *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.min, "top"), (F.max, "bottom")))).drop("run")
@@ -78,10 +78,11 @@ def nearest_title(tables: DataFrame, titles: DataFrame, above: float = 50, below
 def table_notes(tables: DataFrame, lines: DataFrame, reach: float = 130) -> DataFrame:
     """(doc_id, page, table_no, notes): lines from 注： up to the next heading, within `reach` under the table."""
     t = tables.select("doc_id", "page", "table_no", F.col("bottom").alias("_b"))
-    near = lines.join(t, ["doc_id", "page"]).filter((F.col("top") >= F.col("_b") - 2) & (F.col("top") <= F.col("_b") + reach))
+    near = lines.join(t, ["doc_id", "page"]).filter((F.col("top") > F.col("_b")) & (F.col("top") <= F.col("_b") + reach))
     w = Window.partitionBy("doc_id", "page", "table_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    begun = F.max(F.col("text").rlike(r"^\s*注\s*[：:]?")).over(w)
-    stop = F.col("text").rlike(X.UNI + V.CLAUSE) | F.col("text").rlike(X.UNI + V.SECTION) | F.col("text").rlike(X.UNI + V.TABLE_TITLE) | F.col("text").rlike(X.UNI + V.FIGURE_TITLE)
+    opens = F.col("text").rlike(r"^注[：:]")
+    begun = F.max(opens).over(w)
+    stop = ~opens & ( F.col("text").rlike(X.UNI + V.CLAUSE) | F.col("text").rlike(X.UNI + V.SECTION) | F.col("text").rlike(X.UNI + V.TABLE_TITLE) | F.col("text").rlike(X.UNI + V.FIGURE_TITLE))
     x = near.withColumn("_on", begun).withColumn("_stop", F.max(stop & begun).over(w)).filter("_on AND NOT _stop")
     return x.groupBy("doc_id", "page", "table_no").agg(F.sort_array(F.collect_list(F.struct("seq", "text")))["text"].alias("notes"))
 
@@ -99,18 +100,22 @@ def merge_across_pages(tables: DataFrame) -> DataFrame:
         "doc_id", F.col("s")[0]["table_no"].alias("table_no"), F.col("s")[0]["title"].alias("title"), F.flatten(F.col("s.rows")).alias("rows"), F.col("s.page").alias("pages"), F.when(F.size("s") > 1, F.size(F.col("s")[0]["rows"])).alias("first_part_rows"))
 
 
-def formula_regions(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, region, text, num): runs of narrow lines without ideographs or of lines that end in an equation number; each number ends a region, what follows the last one joins it."""
-    bare = ~F.col("text").rlike("[一-鿿]") & (F.col("x1") - F.col("x0") < 300)
+def formula_regions(lines: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """(group, seq, last, text, num, box) of each formula in a group's lines (a page, or a segment). Lines that end in an equation
+    number, and narrow ones without ideographs, belong to formulas, titles and legends never do; each number ends a region, and what
+    stands after the last number of its run joins the region before."""
+    group = group or ["doc_id", "page"]
     ends = F.col("text").rlike(X.UNI + V.EQUATION_END)
-    x = islands(lines.withColumn("_f", bare | ends), ["doc_id", "page"], ["seq"], "_f").filter("_f").withColumn("_e", ends)
-    w = Window.partitionBy("doc_id", "page", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("doc_id", "page", "island")
-    done = F.coalesce(F.sum(F.col("_e").cast("int")).over(w), F.lit(0))
-    total = F.sum(F.col("_e").cast("int")).over(whole)
-    x = x.withColumn("_k", F.least(done, F.greatest(total - 1, F.lit(0)))).withColumn("_n", total).filter("_n > 0")
+    bare = ~F.col("text").rlike("[一-鿿]") & (F.col("x1") - F.col("x0") < 300)
+    other = F.col("text").rlike(X.UNI + V.TABLE_TITLE) | F.col("text").rlike(X.UNI + V.FIGURE_TITLE) | F.col("text").rlike(X.UNI + V.LEGEND)
+    x = islands(lines.withColumn("_f", (bare | ends) & ~other), group, ["seq"], "_f").filter("_f").withColumn("_e", ends.cast("int"))
+    done = F.coalesce(F.sum("_e").over(Window.partitionBy(*group).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = F.sum("_e").over(Window.partitionBy(*group, "island").orderBy("seq").rowsBetween(0, Window.unboundedFollowing))
+    x = x.withColumn("_k", F.when(ahead > 0, done).otherwise(done - 1)).filter("_k >= 0")
     s = F.sort_array(F.collect_list(F.struct("seq", "text")))
-    return x.groupBy("doc_id", "page", "island", "_k").agg(F.min("seq").alias("seq"), F.array_join(s["text"], " ").alias("text")).select("doc_id", "page", "seq", "text", X.first_group("text", V.EQUATION).alias("num"))
+    numbered = F.max(F.when(F.col("_e") == 1, F.col("text")))
+    box = F.struct(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom")) if {"top", "bottom"} <= set(lines.columns) else F.lit(None)
+    return x.groupBy(*group, "_k").agg(F.min("seq").alias("seq"), F.max("seq").alias("last"), F.array_join(s["text"], "\n").alias("text"), X.first_group(numbered, V.EQUATION).alias("num"), box.alias("box")).drop("_k")
 
 
 def explanation_pages(lines: DataFrame) -> DataFrame:
@@ -155,26 +160,48 @@ def merge_continuations(segs: DataFrame) -> DataFrame:
     return x.groupBy("doc_id", "clause_no").agg(F.first("num", ignorenulls=True).alias("num"), F.min("seq").alias("seq"), F.array_join(s["text"], "\n").alias("text"), F.sort_array(F.collect_set("page")).alias("pages"), reason.alias("status_reason")).withColumn("status", F.when(F.col("status_reason").isNull(), "ok").otherwise("need_review"))
 
 
-def items(x: Column | str) -> Column:
-    """(n, text) of a clause's numbered items, if the clause announces a list: numbers must follow on from 1; other lines join the item before."""
-    t = F.col(x) if isinstance(x, str) else x
-    empty = F.array().cast("array<struct<n:int,text:string>>")
+ITEM_LINE = "struct<text:string,page:int,box:struct<x0:double,top:double,x1:double,bottom:double>,head:boolean>"
+
+
+def item_lists(lines: Column) -> Column:
+    """(n, lines) of a clause's numbered items, from its lines after the first, in order (text, page, box, head; `head` says that
+    a line is of the segment that opens the clause). Numbers follow on from 1, a clause's number is no item; only the opening segment
+    begins a list, and other lines join the item before."""
+    empty = F.array().cast(f"array<struct<n:int,lines:array<{ITEM_LINE}>>>")
 
     def step(acc: Column, line: Column) -> Column:
-        num = F.regexp_extract(line, X.UNI + V.ITEM, 1).try_cast("int")
-        add = F.concat(acc, F.array(F.struct(num.alias("n"), F.regexp_extract(line, X.UNI + V.ITEM, 2).alias("text"))))
+        text = X.strip(line["text"])
+        num = F.regexp_extract(text, X.UNI + V.ITEM, 1).try_cast("int")
+        clause = text.rlike(X.UNI + V.CLAUSE) | text.rlike(X.UNI + V.APPENDIX_CLAUSE)
+        opens = (num == F.size(acc) + 1) & ~clause & (line["head"] | (F.size(acc) > 0))
         last = F.element_at(acc, -1)
-        more = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["n"].alias("n"), F.concat(last["text"], F.lit("\n"), line).alias("text"))))
-        return F.when(num == F.size(acc) + 1, add).when(F.size(acc) > 0, more).otherwise(acc)
+        new = F.concat(acc, F.array(F.struct(num.alias("n"), F.array(line).alias("lines"))))
+        more = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["n"].alias("n"), F.concat(last["lines"], F.array(line)).alias("lines"))))
+        return F.when(F.coalesce(opens, F.lit(False)), new).when(F.size(acc) > 0, more).otherwise(acc)
 
-    return F.when(t.rlike("下列|应包括"), F.aggregate(F.split(t, "\n"), empty, step)).otherwise(empty)
+    return F.aggregate(lines, empty, step)
+
+
+def announces_list(x: Column | str) -> Column:
+    return (F.col(x) if isinstance(x, str) else x).rlike("下列|应包括")
+
+
+def items(x: Column | str) -> Column:
+    """(n, text) of the items of a clause that stands in one segment."""
+    t = F.col(x) if isinstance(x, str) else x
+    no_box = F.lit(None).cast("struct<x0:double,top:double,x1:double,bottom:double>")
+    line = lambda v: F.struct(v.alias("text"), F.lit(None).cast("int").alias("page"), no_box.alias("box"), F.lit(True).alias("head"))
+    all_lines = F.split(t, "\n")
+    rest = F.transform(F.slice(all_lines, F.lit(2), F.greatest(F.size(all_lines) - 1, F.lit(0))), line)
+    found = F.transform(item_lists(rest), lambda i: F.struct(i["n"].alias("n"), F.array_join(F.transform(i["lines"], lambda v: X.normalise(v["text"])), "\n").alias("text")))
+    return F.when(announces_list(t), found).otherwise(F.array().cast("array<struct<n:int,text:string>>"))
 
 
 def formula_variables(formulas: DataFrame, clauses: DataFrame) -> DataFrame:
     """(node_id, variables): a clause's only 式中 block goes to all of its formulas, as many blocks as formulas go one to one, else they keep their own."""
     f = formulas.withColumn("_i", F.row_number().over(Window.partitionBy("parent_id").orderBy("seq"))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("parent_id")))
     b = clauses.select(F.col("node_id").alias("_p"), X.where_blocks("content").alias("_b"))
-    pick = F.when(F.size("_b") == 1, X.variables(F.get("_b", F.lit(0)))).when(F.size("_b") == F.col("_n"), X.variables(F.get("_b", F.col("_i") - 1))).otherwise(F.col("variables"))
+    pick = F.when(F.size("_b") == 1, F.get("_b", F.lit(0))).when(F.size("_b") == F.col("_n"), F.get("_b", F.col("_i") - 1)).otherwise(F.col("variables"))
     return f.join(b, F.col("parent_id") == F.col("_p"), "left").select("node_id", pick.alias("variables"))
 
 
@@ -234,7 +261,8 @@ def link_explanations(nodes: DataFrame) -> DataFrame:
     """K4: (explanation_id, clause_id) by number, ranges written out; of clauses with one number the last counts."""
     last = Window.partitionBy("standard_id", "num").orderBy(F.desc("seq"))
     clauses = nodes.filter("type = 'clause'").withColumn("_i", F.row_number().over(last)).filter("_i = 1").select("standard_id", F.col("num").alias("target"), F.col("node_id").alias("clause_id"))
-    targets = F.array_distinct(F.array_compact(F.concat(X.explanation_targets("content"), F.array("num"))))
+    named = X.explanation_targets("content")
+    targets = F.when(F.size(named) > 0, named).otherwise(F.array_compact(F.array("num")))
     e = nodes.filter("type = 'explanation'").select("standard_id", F.col("node_id").alias("explanation_id"), F.explode(targets).alias("target"))
     return e.join(clauses, ["standard_id", "target"]).select("explanation_id", "clause_id").distinct()
 

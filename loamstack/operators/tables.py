@@ -177,6 +177,18 @@ def find_rows(rows: DataFrame, key: str, text: str, phrase: list[str], k: int) -
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("long"))
 
 
+def rows_for(rows: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
+    """(q_id, node_id, title, row_index, row_text, score, rank) for questions (q_id, question): stored rows with most occurrences of
+    the question's tokens of two characters and more. A row meets only tokens whose first two characters stand in it."""
+    words = questions.select("q_id", F.explode(F.filter(X.tokens("question"), lambda w: F.char_length(w) > 1)).alias("w")).groupBy("q_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    grams = rows.select("node_id", "title", "row_index", "row_text", F.explode(X.bigrams("row_text", "(?!)")).alias("g"))
+    met = grams.join(words.withColumn("g", F.substring("w", 1, 2)), "g")
+    times = F.floor((F.char_length("row_text") - F.char_length(F.replace(F.col("row_text"), F.col("w"), F.lit("")))) / F.char_length("w"))
+    scored = met.groupBy("q_id", "node_id", "title", "row_index", "row_text").agg(F.sum(F.col("n") * times).alias("score")).filter("score > 0")
+    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "node_id", "row_index")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def row_text(columns: list[str]) -> Column:
     """name=value of the non-empty cells."""
     return F.concat_ws("；", *(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{c}="), F.col(c))) for c in columns))

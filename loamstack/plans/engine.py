@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import context, graph, ranking, tables
-from ..sources.io import stored
+from ..sources import embedders
+from ..sources.io import missing_embeddings, stored
 from ..streaming import answers
 
 POOL, TOP, BOOST = 30, 10, 0.05
 
 
 class Engine:
-    """Nodes with `seq` and links; questions are DataFrames (q_id long, question string). Everything is a plan over both."""
-
-    def __init__(self, nodes: DataFrame, synonyms: dict[str, str] | None = None):
+    """Nodes of one or several standards with links and a `seq` that is unique over all of them, as read_nodes gives it; questions
+    are DataFrames (q_id long, question string). Everything is a plan over both.
+
+    `embed` turns a list of texts into vectors; without it, or where `reachable` says that its service is down, vectors are hashed
+    tokens. Of nodes with one node_id the last counts.
+    """
+
+    def __init__(self, nodes: DataFrame, synonyms: dict[str, str] | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None, reachable: Callable[[], bool] | None = None, cache: DataFrame | None = None):
+        if nodes.groupBy("seq").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count():
+            raise ValueError("seq must be unique over all nodes")
+        last = nodes.groupBy("node_id").agg(F.max("seq").alias("seq"))
+        nodes = nodes.join(last, ["node_id", "seq"], "left_semi")
         self.nodes, self.synonyms = nodes.withColumn("nid", F.col("seq").cast("long")), synonyms
+        self.embed = embed if embed and embedders.choose(reachable or (lambda: True)) == "service" else None  # S11
+        self.cache = cache
         self.vector_nodes = self.nodes.filter(F.col("type").isin(V.VECTOR_TYPES))  # V1
         refs = nodes.select(F.col("node_id").alias("src"), "seq", F.explode("refs").alias("r")).select("src", F.col("r.target_node_id").alias("dst"), F.col("r.target_type").alias("type"), "seq")
         known = nodes.select(F.col("node_id").alias("dst"))
@@ -33,10 +45,10 @@ class Engine:
         n = self.nodes.withColumn("tokens", F.concat(X.tokens("content"), F.flatten(F.array_repeat(X.tokens(F.array_join("keywords", " ")), 3))))
         words = X.tokens("asked")
         bm = ranking.bm25(n, q, "nid", "q_id", F.col("tokens"), words, POOL)
-        docs = ranking.dense(ranking.hashed(self.vector_nodes, "nid", X.tokens("content")), "nid")
-        vec = ranking.nearest(docs, ranking.dense(ranking.hashed(q, "q_id", words), "q_id"), "nid", "q_id", "vector", POOL, at="at", dims=512)
+        vec = self._vectors(q, words)
         named = q.select("q_id", F.explode(X.mentions("question")).alias("m")).select("q_id", F.col("m.type").alias("type"), F.col("m.num").alias("num"))
-        boost = named.join(self.nodes.select("nid", "type", "num"), ["type", "num"]).select("q_id", "nid").distinct().withColumn("boost", F.lit(BOOST))
+        first = self.nodes.agg(F.min_by("standard_id", "seq").alias("standard_id"))  # a bare number means the first standard
+        boost = named.join(self.nodes.join(F.broadcast(first), "standard_id", "left_semi").select("nid", "type", "num"), ["type", "num"]).select("q_id", "nid").distinct().withColumn("boost", F.lit(BOOST))
         hits = ranking.fuse(bm, vec, "q_id", "nid", k, boost=boost).join(self.nodes.select("nid", "node_id", "type", "num"), "nid")
         hits = stored(hits.select("q_id", "node_id", "type", "num", "score", "rank", F.col("rank_a").alias("bm25_rank"), F.col("rank_b").alias("vector_rank"), F.lit(None).cast("string").alias("via_graph")))
         more = graph.closure(hits.select("q_id", F.col("node_id").alias("id"), "rank", "type"), self.edges, self.nodes.select(F.col("node_id").alias("id"), "type"), V.REFERENCE_KINDS)
@@ -45,6 +57,23 @@ class Engine:
         every = hits.unionByName(more.select("q_id", F.col("id").alias("node_id"), "type", "num", F.lit(0.0).alias("score"), none("int").alias("rank"), none("int").alias("bm25_rank"), none("int").alias("vector_rank"), F.col("via").alias("via_graph")))
         return stored(every)  # contexts and comparisons read it several times
 
+    def _vectors(self, q: DataFrame, words: Column) -> DataFrame:
+        """Nearest nodes by vectors of the service, where there is one, else of hashed tokens; stored vectors are used again."""
+        if not self.embed:
+            docs = ranking.dense(ranking.hashed(self.vector_nodes, "nid", X.tokens("content")), "nid")
+            return ranking.nearest(docs, ranking.dense(ranking.hashed(q, "q_id", words), "q_id"), "nid", "q_id", "vector", POOL, at="at", dims=512)
+        texts = self.vector_nodes.select("nid", embedders.key("content").alias("key"), "content")
+        new = embedders.embed_with(missing_embeddings(texts, self.cache) if self.cache else texts.select("key", F.col("content").alias("text")).dropDuplicates(["key"]), "key", "text", self.embed)
+        self.cache = stored(new.unionByName(self.cache.select("key", "vector")) if self.cache else new)
+        docs = texts.select("nid", "key").join(self.cache, "key").select("nid", "vector")
+        asked = embedders.embed_with(q, "q_id", "asked", self.embed)
+        return ranking.nearest(docs, asked, "nid", "q_id", "vector", POOL)
+
+    def rows(self, questions: DataFrame, k: int = 3) -> DataFrame:
+        """(q_id, node_id, title, row_index, row_text, score, rank): the rows of stored tables that hold most words of a question."""
+        held, _ = tables.store_rows(self.nodes.filter("type = 'table'"))
+        return tables.rows_for(held, questions, k)
+
     def contexts(self, hits: DataFrame, max_blocks: int = 10, max_chars: int = 9000, several: bool = False) -> DataFrame:
         """(q_id, place, node_id, type, text): the blocks that go to the generator."""
         picked = stored(context.with_parents(hits.select("q_id", "node_id", "score", "rank"), self.nodes))
@@ -60,16 +89,16 @@ class Engine:
 
     def verify(self, answers: DataFrame, blocks: DataFrame) -> DataFrame:
         """A verdict on each citation of (q_id, answer), by the blocks given for it."""
-        cites = context.attributed(context.citations(answers), answers, self.nodes.select("standard_code", "standard_id"))
-        own = blocks.select("q_id", "node_id", "text").join(self.nodes.select("node_id", "standard_id", "type", "num"), "node_id")
-        named = own.select("q_id", "standard_id", F.explode(X.references("text", "standard_id")).alias("r")).select("q_id", "standard_id", F.col("r.target_type").alias("type"), F.col("r.target_num").alias("num"))
-        return context.verdicts(cites, own.select("q_id", "standard_id", "type", "num"), named)
+        own = blocks.select("q_id", "node_id", "text").join(self.nodes.select("node_id", "standard_id", "standard_code", "type", "num"), "node_id")
+        codes = own.select("q_id", "standard_code", "standard_id").unionByName(own.select("q_id", F.col("standard_id").alias("standard_code"), "standard_id"))
+        cites = context.attributed(context.citations(answers), answers, codes)
+        return context.verdicts(cites, own.select("q_id", "standard_id", "type", "num"), context.named_in(own))
 
     def ask(self, question: str, generate: answers.Pieces = answers.extract, detail: str = "brief") -> Iterator[tuple[str, dict]]:
         """The events of one answer: hits and blocks, the generator's pieces, then the checked citations."""
         spark = self.nodes.sparkSession
         q = spark.createDataFrame([(0, question)], "q_id long, question string")
-        names = [(r["standard_code"], r["standard_name"]) for r in context.standards(self.nodes).collect()]
+        names = [(r["standard_code"], r["standard_name"]) for r in context.standards(self.nodes).collect()]  # as many as there are books
         hits = self.search(q)
         blocks = self.contexts(hits, several=len(names) > 1)
         chosen = blocks.orderBy("place").collect()  # ten at most
@@ -84,7 +113,7 @@ class Engine:
             own = spark.createDataFrame([(0, r["node_id"], r["text"]) for r in chosen], "q_id long, node_id string, text string")
             return {"citations": [r.asDict() for r in self.verify(a, own).collect()], "refused": a.select(X.is_refusal("answer")).first()[0]}
 
-        meta = {"blocks": [r["node_id"] for r in chosen], "tables": [r["node_id"] for r in found]}
+        meta = {"blocks": [r["node_id"] for r in chosen], "tables": [r["node_id"] for r in found], "rows": [r.asDict() for r in self.rows(q).orderBy("rank").collect()]}  # three rows
         yield from answers.events(messages, generate, finish, meta)
 
     def health(self) -> dict:

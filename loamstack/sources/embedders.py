@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BATCH = 16
 
 
+def key(text: Column | str) -> Column:
+    """Under which a text's vector is kept."""
+    return F.substring(F.sha1((F.col(text) if isinstance(text, str) else text).cast("binary")), 1, 16)
+
+
 def embed_with(texts: DataFrame, key: str, text: str, call: Callable[[list[str]], list[list[float]]]) -> DataFrame:
     """(key, vector): `call` gets BATCH texts at a time on the executors; its errors are raised with a hint."""
 

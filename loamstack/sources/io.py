@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import embedders
+
 REF = "target_type string, target_num string, target_node_id string, target_display string, in_scope boolean"
 BODY = (
     "table_id string, title string, rows array<array<string>>, header_rows int, header_flat array<string>, notes array<string>, units string, markdown string, markdown_flat string, cross_page array<int>, "
-    "tool_kind string, figure_id string, legend array<string>, sub_labels array<string>, image_path string, part_count int, equation_id string, linear_text string, variables array<struct<symbol:string,meaning:string,unit:string>>"
+    "tool_kind string, fill_down boolean, figure_id string, legend array<string>, sub_labels array<string>, image_path string, part_count int, equation_id string, linear_text string, variables array<struct<symbol:string,meaning:string,unit:string>>"
 )
 _struct = lambda fields: f"struct<{', '.join(p.replace(' ', ':', 1) for p in fields.split(', '))}>"
 REFS_TYPE, BODY_TYPE = f"array<{_struct(REF)}>", _struct(BODY)
@@ -42,15 +44,24 @@ def read_chars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_nodes(spark: SparkSession, *paths: str) -> DataFrame:
-    """Node files as one table. `seq` keeps the order of files, then of a node's place in its document."""
-    d = spark.read.schema(NODE).json(list(paths)).filter("node_id IS NOT NULL")
-    place = F.struct(F.element_at("pages", 1), F.get(F.col("bboxes"), F.lit(0))["top"], F.get(F.col("bboxes"), F.lit(0))["x0"], F.col("node_id"))
-    return d.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy(place)).cast("long"))
+    """Node files as one table, each file's order kept. `seq` is unique over all files: the document's number, by first appearance,
+    in the high half, the place in it from 1 in the low half. A part of a file keeps its order; parts follow by file and offset."""
+    out = None
+    for i, path in enumerate(paths):
+        d = spark.read.text(path).select(F.lit(i).alias("_f"), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_m"), F.from_json("value", NODE).alias("n"))
+        out = d if out is None else out.unionByName(d)
+    place = F.struct("_f", "file_path", "file_block_start", "_m")
+    d = stored(out.filter("n.node_id IS NOT NULL").select(place.alias("_at"), "n.*"))
+    docs = d.groupBy("doc_id").agg(F.min("_at").alias("_first")).withColumn("_no", F.row_number().over(Window.orderBy("_first")) - 1)  # one row for each document
+    seq = F.shiftleft(F.col("_no").cast("long"), 32) + F.row_number().over(Window.partitionBy("doc_id").orderBy("_at"))
+    return d.join(docs.select(F.col("doc_id").alias("_d"), "_no"), F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("seq", seq).drop("_at", "_no", "_d")
 
 
 def write_nodes(nodes: DataFrame, path: str) -> int:
-    """One JSON object a line; the number written."""
-    nodes.write.mode("overwrite").json(path)
+    """One JSON object a line, in order of `seq` where there is one, over as many files as there are documents' ranges; the number
+    written."""
+    ordered = nodes.repartitionByRange("seq").sortWithinPartitions("seq") if "seq" in nodes.columns else nodes
+    ordered.select(*(c for c in NODE_TYPES if c in nodes.columns)).write.mode("overwrite").json(path)
     return nodes.sparkSession.read.text(path).filter(F.trim("value") != "").count()
 
 
@@ -63,7 +74,10 @@ def write_cases(cases: DataFrame, path: str) -> None:
     """The gold set as JSON lines and as CSV, in the columns' order."""
     flat = [F.array_join(f.name, ";").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in cases.schema]
     cases.write.mode("overwrite").json(f"{path}/jsonl")
-    cases.select(*flat).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(f"{path}/csv")
+    table = cases.select(*flat)
+    names = [F.lit("\ufeff" + table.columns[0]).alias(table.columns[0]), *(F.lit(c).alias(c) for c in table.columns[1:])]  # a header row with the mark of UTF-8
+    header = cases.sparkSession.range(1).select(*names)
+    header.unionByName(table.select(*(F.col(c).cast("string") for c in table.columns))).coalesce(1).write.mode("overwrite").option("encoding", "UTF-8").csv(f"{path}/csv")  # gold sets are small
 
 
 def display_width(text: str) -> int:
@@ -98,8 +112,7 @@ def write_table_store(rows: DataFrame, tables: DataFrame, path: str) -> None:
 
 def missing_embeddings(texts: DataFrame, cache: DataFrame, text: str = "content") -> DataFrame:
     """Distinct texts without a cached vector, by key."""
-    k = F.substring(F.sha1(F.col(text).cast("binary")), 1, 16)
-    return texts.select(k.alias("key"), F.col(text).alias("text")).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+    return texts.select(embedders.key(text).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
 
 
 def count_nodes(spark: SparkSession, *paths: str) -> int:

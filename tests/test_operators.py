@@ -77,7 +77,8 @@ def test_store_rows_last_of_equal_names(spark):
 
 def test_items_follow_on(spark):
     f = lambda s: [tuple(i) for i in spark.createDataFrame([(s,)], "t string").select(structure.items("t")).first()[0]]
-    assert f("应符合下列规定：\n1 第一\n续\n3 不是\n2 第二") == [(1, "第一\n续\n3 不是"), (2, "第二")]
+    assert f("应符合下列规定：\n1 第一\n续\n3 不是\n2 第二") == [(1, "1 第一\n续\n3 不是"), (2, "2 第二")]
+    assert f("1.0.3 应符合下列规定：\n1 第一\n2.0.1 条文\n2 第二") == [(1, "1 第一\n2.0.1 条文"), (2, "2 第二")]
     assert f("没有列表\n1 第一") == []
 
 
@@ -133,7 +134,15 @@ def test_layout_lines_cells_and_figures(spark):
     g = spark.createDataFrame([("d", 1, 0.0, 0.0, 50.0, 80.0), ("d", 1, 55.0, 0.0, 100.0, 80.0)], "doc_id string, page int, x0 double, top double, x1 double, bottom double")
     p = spark.createDataFrame([("d", 1, 600.0, 800.0)], "doc_id string, page int, width double, height double")
     figure = layout.group_figures(layout.graphic_clusters(g, p), lines).first()
-    assert (figure["num"], figure["part_count"], figure["x1"]) == ("1", 1, 100.0)
+    assert (figure["num"], figure["title"], figure["part_count"], figure["x1"], figure["top"], figure["bottom"]) == ("1", "图1 架", 1, 100.0, 0.0, 111.0)
+    box = spark.createDataFrame([("d", 1, 1.0, 2.0)], "doc_id string, page int, x0 double, top double")
+    assert layout.group_figures(layout.graphic_clusters(g, p), lines, box).count() == 0
+    # the third touches the first cluster only, which was closed to the second; nothing merges clusters
+    far = spark.createDataFrame([("d", 1, 0.0, 0.0, 100.0, 80.0), ("d", 1, 5.0, 200.0, 100.0, 280.0), ("d", 1, 10.0, 80.0, 60.0, 190.0), ("d", 1, 20.0, 30.0, 20.0, 90.0)], "doc_id string, page int, x0 double, top double, x1 double, bottom double")
+    assert [(r["top"], r["bottom"]) for r in layout.graphic_clusters(far, p).orderBy("cluster").collect()] == [(0.0, 190.0), (200.0, 280.0)]
+    # a character that sticks out of the cell is not in it; a row is found again after a character of another
+    cell = spark.createDataFrame([("d", 1, 0, 0, 0, 0.0, 27.0, 95.0, 145.0)], "doc_id string, page int, table_no int, r int, c int, x0 double, x1 double, top double, bottom double")
+    assert layout.cell_text(c, cell).first()["v"] == "图1 / x"
     assert layout.highlight_band(g).first()["to_bottom"] == 170.0
 
 
@@ -234,7 +243,7 @@ def test_sources(spark, tmp_path):
 def test_formulas(spark):
     lines = [("d", 1, 0, "按下式计算", 50.0, 500.0), ("d", 1, 1, "N/φA≤f", 50.0, 200.0), ("d", 1, 2, "(5.3.3-1)", 400.0, 450.0), ("d", 1, 3, "λ=l/i (5.3.3-2)", 50.0, 200.0)]
     got = structure.formula_regions(spark.createDataFrame(lines, "doc_id string, page int, seq int, text string, x0 double, x1 double")).orderBy("seq").collect()
-    assert [(r["num"], r["text"]) for r in got] == [("5.3.3-1", "N/φA≤f (5.3.3-1)"), ("5.3.3-2", "λ=l/i (5.3.3-2)")]
+    assert [(r["num"], r["text"]) for r in got] == [("5.3.3-1", "N/φA≤f\n(5.3.3-1)"), ("5.3.3-2", "λ=l/i (5.3.3-2)")]
     f = spark.createDataFrame([("f1", "c", 1), ("f2", "c", 2)], "node_id string, parent_id string, seq int").withColumn("variables", F.array().cast("array<struct<symbol:string,meaning:string,unit:string>>"))
     c = spark.createDataFrame([("c", "式中：N——轴力；\n式中：λ——长细比；")], "node_id string, content string")
     assert {r["node_id"]: r["variables"][0]["symbol"] for r in structure.formula_variables(f, c).collect()} == {"f1": "N", "f2": "λ"}

@@ -13,13 +13,13 @@ def one(spark, f, *values):
 
 
 @pytest.mark.parametrize(("f", "given", "want"), [
-    (X.fix_glyphs, "1", "γ≤1"), (X.normalise, "a  b\r\n\n 中 文 x ", "a b\n中文 x"), (X.normalise_dashes, "3－中 4–文", "3—中 4—文"), (X.guess_units, "长度（mm）", "mm"),
+    (X.fix_glyphs, "1", "γ≤1"), (X.normalise, "a  b\r\n\n 中 文 x ", "a b\n中文 x"), (X.normalise_dashes, "3－中 4–文", "3—中 4—文"), (X.guess_units, "长度（某）（ mm ）", "mm"),
     (X.clean_header, "搭设 / 高 度", "搭设高度"), (X.modality, "相应不宜", "应"), (X.modality, "无", None), (X.line_class, "7.4.11 立杆", "clause"), (X.line_class, "附录A 规格 ......... 37", "toc"),
     (X.line_class, "图6.2.4可调托撑", "figure_title"), (X.line_class, "表 5.1.9 承载力", "table_title"), (X.clause_number, "7.4.11 立杆", "7.4.11"), (X.clause_number, "A.0.1 风压", "A.0.1"), (X.clause_number, "5.3.3、应", None),
-    (X.explanation_targets, "7.4.1~7.4.3 本条。", ["7.4.1", "7.4.2", "7.4.3"]), (X.explanation_targets, "7.4.11、7.4.12 说明", ["7.4.11", "7.4.12"]), (X.where_blocks, "a 式中：φ——x；式中 b", ["φ——x；", "b"]),
+    (X.explanation_targets, "7.4.1~7.4.3 本条。", ["7.4.1", "7.4.2", "7.4.3"]), (X.explanation_targets, "7.4.11、7.4.12 说明", ["7.4.11", "7.4.12"]), (X.explanation_targets, "4.1.2~4 与5.2.1有关", ["4.1.2", "4.1.3", "4.1.4", "5.2.1"]),
     (X.key_candidates, "型号 Z-LG-500 在2021年 λ=100 的 62", ["Z-LG-500", "500", "100", "62"]), (X.expand_query, "盘扣架的斜撑怎么布置", "盘扣架的斜撑怎么布置 斜杆 竖向斜杆"), (X.expand_query, "无", "无"),
     (X.tokens, "表5.1.9", ["5.1.9", "5.1", "表5.1.9"]), (X.tokens, "立杆间距 550mm 可 2m 7", ["mm", "m", "550mm", "立杆", "杆间", "间距", "可"]), (X.number_key, "5.a.10", [5, 999, 10]), (X.is_refusal, "材料中未规定", True),
-    (X.tex_to_text, r"\frac{a}{b}\leq\lambda", "(a)/(b)≤λ"), (X.highlight, "**x** [来源：第5.1.1条]", '<b>x</b> <span class="cite">[来源：第5.1.1条]</span>'), (X.answer_tokens, "间距650 mm，共3.5", ["650mm", "650", "3.5"]),
+    (X.tex_to_text, r"$\frac{a}{b}\leqslant\lambda_{x}\left(\eta\right)$", "a/b≤lambdax(eta)"), (X.highlight, "**x** [来源：第5.1.1条]", '<b>x</b> <span class="cite">[来源：第5.1.1条]</span>'), (X.answer_tokens, "间距650 mm，共3.5", ["650mm", "650", "3.5"]),
 ])
 def test_function(spark, f, given, want):
     assert one(spark, f, given) == want
@@ -36,7 +36,8 @@ def test_mentions_mask_typed_numbers(spark):
 
 
 def test_variables(spark):
-    assert [tuple(v) for v in one(spark, X.variables, "φ——稳定系数；N——轴力（kN）；")] == [("φ", "稳定系数", None), ("N", "轴力", "kN")]
+    assert [tuple(v) for v in one(spark, X.variables, "φ——稳定系数；N——轴力（kN）；")] == [("φ", "稳定系数", None), ("N", "轴力（kN）", "kN")]
+    assert [[tuple(v) for v in b] for b in one(spark, X.where_blocks, "a 式中：φ——x；式中 b 式中: 无 式中：i——回转半径（约）")] == [[("φ", "x", None)], [("i", "回转半径（约）", None)]]
 
 
 def test_markdown(spark):
@@ -44,8 +45,9 @@ def test_markdown(spark):
 
 
 def test_heading_kind(spark):
-    f = lambda t: one(spark, X.heading_kind, t, 50.0)
-    assert [f("5.1 一般规定"), f("5 结构设计"), f("5.1.1 应按下列"), f("5.1 应符合规定。")] == ["section", "chapter", None, None]
+    f = lambda t, x0=250.0: one(spark, X.heading_kind, t, x0)
+    assert [f("5.1 一般规定"), f("5 结构设计"), f("5.1.1 应按下列"), f("5.1 应符合规定。"), f("5.1 一般规定", 200.0), f("0.9 ×1.5"), f("3 规定、")] == ["section", "chapter", None, None, None, None, "chapter"]
+    assert [tuple(one(spark, X.split_heading, t)) for t in (" 5.1 一般规定", "5 结构设计", "前言")] == [("5.1", "一般规定"), ("5", "结构设计"), ("", "前言")]
 
 
 def test_labels_and_prompt(spark):
