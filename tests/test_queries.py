@@ -3,12 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
-from loamstack.plans import record_queries, search_queries
+from loamstack.plans import golden_queries, record_queries, search_queries
 from oracle import compare, rows
 
 SF = "/root/testdata/sf0.001"
-OWN = {**search_queries.QUERIES, **record_queries.QUERIES}
-SQL = {**search_queries.SQL, **record_queries.SQL}
+OWN = {**search_queries.QUERIES, **record_queries.QUERIES, **golden_queries.QUERIES}
+SQL = {**search_queries.SQL, **record_queries.SQL, **golden_queries.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
