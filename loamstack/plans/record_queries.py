@@ -63,15 +63,17 @@ def key_column_choice(spark, sf_dir):
 
 
 @query("""
-WITH k AS (SELECT 'part' AS tab, CAST(p_partkey AS VARCHAR) AS v FROM part UNION ALL SELECT 'nation', n_name FROM nation UNION ALL SELECT 'region', r_name FROM region),
-g AS (SELECT tab, count(*) AS n, count(*) FILTER (regexp_full_match(v, '[0-9]+([.][0-9]+)?')) AS num FROM k GROUP BY tab)
-SELECT tab, n AS body_rows, num AS numeric_keys, CASE WHEN n < 3 THEN 'grid' WHEN num >= 0.8 * n OR n + 1 >= 20 THEN 'lookup' ELSE 'grid' END AS kind FROM g""")
+WITH k AS (SELECT p_brand || CASE WHEN p_brand LIKE '%1' THEN ' 验收记录表' ELSE '' END AS tab, count(DISTINCT p_size) AS n, true AS num FROM part GROUP BY p_brand
+  UNION ALL SELECT 'region ' || n_regionkey, count(*), false FROM nation GROUP BY n_regionkey UNION ALL SELECT 'nation ' || s_nationkey, count(*), false FROM supplier GROUP BY s_nationkey)
+SELECT tab, CASE WHEN contains(tab, '记录表') THEN 'template' WHEN n < 3 THEN 'grid' WHEN num OR n + 1 >= 20 THEN 'lookup' ELSE 'grid' END AS kind FROM k""")
 def table_classify(spark, sf_dir):
-    """The rule of T5 as sums over rows, for tables that are too long for one array."""
-    k = [t(spark, sf_dir, n).select(F.lit(n).alias("tab"), F.col(c).cast("string").alias("v")) for n, c in (("part", "p_partkey"), ("nation", "n_name"), ("region", "r_name"))]
-    g = k[0].unionByName(k[1]).unionByName(k[2]).groupBy("tab").agg(F.count(F.lit(1)).alias("body_rows"), F.count_if(F.col("v").rlike(r"^[0-9]+([.][0-9]+)?$")).alias("numeric_keys"))
-    kind = F.when(F.col("body_rows") < 3, "grid").when((F.col("numeric_keys") >= 0.8 * F.col("body_rows")) | (F.col("body_rows") + 1 >= 20), "lookup").otherwise("grid")
-    return g.withColumn("kind", kind)
+    """T5 on tables of sizes for each brand and of names for each region and nation."""
+    row = lambda key: F.array(F.col(key).cast("string"), F.lit("x"))
+    grid = lambda d, tab, key: d.groupBy(tab.alias("tab")).agg(F.concat(F.array(F.array(F.lit("key"), F.lit("value"))), F.sort_array(F.collect_set(row(key)))).alias("rows"))
+    brand = F.concat("p_brand", F.when(F.col("p_brand").endswith("1"), F.lit(" 验收记录表")).otherwise(""))
+    named = lambda what, c: F.concat(F.lit(f"{what} "), F.col(c).cast("string"))
+    every = grid(t(spark, sf_dir, "part"), brand, "p_size").unionByName(grid(t(spark, sf_dir, "nation"), named("region", "n_regionkey"), "n_name")).unionByName(grid(t(spark, sf_dir, "supplier"), named("nation", "s_nationkey"), "s_name"))
+    return every.select("tab", tables.table_kind("tab", "rows").alias("kind"))
 
 
 @query("""
@@ -91,10 +93,22 @@ def modality_tag(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", X.modality("text", MODAL).alias("modality"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+){2,3}'))), ',') AS codes FROM documents""")
+PARTS = "SELECT p_partkey, (p_partkey % 9 + 1) || '.' || (p_size % 7 + 1) || '.' || (p_partkey % 11 + 1) AS clause, (p_size % 7 + 1) || '.' || (p_partkey % 11 + 1) AS tab, chr(CAST(65 + p_size % 5 AS INTEGER)) AS letter, p_size, p_partkey % 8 AS form FROM part"
+
+
+def _numbers(spark, sf_dir):
+    """Numbers of clauses, tables and appendices from each part's key and size."""
+    n = lambda c, k: (F.col(c) % k + 1).cast("string")
+    clause, tab = F.concat_ws(".", n("p_partkey", 9), n("p_size", 7), n("p_partkey", 11)), F.concat_ws(".", n("p_size", 7), n("p_partkey", 11))
+    return t(spark, sf_dir, "part").select("p_partkey", clause.alias("clause"), tab.alias("tab"), F.char((F.lit(65) + F.col("p_size") % 5).cast("long")).alias("letter"), "p_size", (F.col("p_partkey") % 8).alias("form"))
+
+
+@query(f"""SELECT p_partkey, 'clause 第' || clause || '条 S:clause:' || clause || ',table 表' || tab || ' S:table:' || tab || ',appendix 附录' || letter || ' S:appendix:' || letter || ',external_standard GB ' || p_size || ' -' AS codes FROM ({PARTS})""")
 def extract_codes(spark, sf_dir):
-    found = F.sort_array(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+){2,3}"), F.lit(0))))
-    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("codes"))
+    """N7, N8, N9 on a sentence that names a clause, a table, an appendix and another standard."""
+    said = F.concat(F.lit("见附录"), "letter", F.lit("和表 "), "tab", F.lit("，按第 "), "clause", F.lit(" 条、第"), "clause", F.lit("条及GB"), F.col("p_size").cast("string"), F.lit("。"))
+    shown = F.transform(X.references(said, F.lit("S")), lambda r: F.concat_ws(" ", r["target_type"], r["target_display"], F.coalesce(r["target_node_id"], F.lit("-"))))
+    return _numbers(spark, sf_dir).select("p_partkey", F.array_join(shown, ",").alias("codes"))
 
 
 @query(r"""
@@ -113,12 +127,13 @@ def normalize_text(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", X.normalise("text").alias("text"))
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(line, '[.]{1,}\s*$')) AS closed, count(*) FILTER (regexp_matches(line, '[|*&%#]')) AS marked FROM l WHERE trim(line) <> '' GROUP BY doc_id""")
+@query(f"""SELECT p_partkey, CASE form WHEN 0 THEN 'clause' WHEN 1 THEN 'section' WHEN 2 THEN 'chapter' WHEN 3 THEN 'table_title' WHEN 4 THEN 'figure_title' WHEN 5 THEN 'equation' WHEN 6 THEN 'toc' ELSE 'text' END AS kind,
+  CASE WHEN form = 0 THEN clause END AS num FROM ({PARTS})""")
 def toc_like_lines(spark, sf_dir):
-    lines = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.trim("line") != "")
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line").rlike(r"[.]{1,}\s*$")).alias("closed"), F.count_if(F.col("line").rlike("[|*&%#]")).alias("marked"))
+    """N12, N13 on lines of eight forms."""
+    forms = [F.concat("clause", F.lit(" 立杆应设置")), F.concat("tab", F.lit(" 一般规定")), F.concat(F.substring_index("clause", ".", 1), F.lit(" 总则")), F.concat(F.lit("表"), "tab", F.lit(" 荷载")), F.concat(F.lit("图"), "tab", F.lit("构造")), F.concat(F.lit("x=y（"), "clause", F.lit("-1）")), F.concat("clause", F.lit(" 规定 ......... "), F.col("p_size").cast("string")), F.lit("一般文字")]
+    line = F.coalesce(*(F.when(F.col("form") == i, f) for i, f in enumerate(forms)))
+    return _numbers(spark, sf_dir).withColumn("line", line).select("p_partkey", X.line_class("line").alias("kind"), F.when(F.col("form") == 0, X.clause_number("line")).alias("num"))
 
 
 @query("""
@@ -284,21 +299,31 @@ def length_stats(spark, sf_dir):
     return quality.length_stats(t(spark, sf_dir, "documents"), "text", ["lang"])
 
 
-@query("""WITH x AS (SELECT lang, CASE WHEN quality = 0 THEN 'low_quality' WHEN toxic = 1 THEN 'toxic' END AS reason FROM labels JOIN documents USING (doc_id))
-SELECT reason, lang, count(*) AS n FROM x WHERE reason IS NOT NULL GROUP BY ALL""")
+@query("""WITH x AS (SELECT CASE WHEN quality = 0 THEN 'cross_page_clause' WHEN toxic = 1 THEN 'split_by_table' END AS status_reason FROM labels)
+SELECT status_reason, count(*) AS n FROM x WHERE status_reason IS NOT NULL GROUP BY ALL""")
 def review_reasons(spark, sf_dir):
-    x = t(spark, sf_dir, "labels").join(t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    reason = F.when(F.col("quality") == 0, "low_quality").when(F.col("toxic") == 1, "toxic")
-    return x.withColumn("reason", reason).filter("reason IS NOT NULL").groupBy("reason", "lang").agg(F.count(F.lit(1)).alias("n"))
+    """A2 on labels as reviews."""
+    reason = F.when(F.col("quality") == 0, "cross_page_clause").when(F.col("toxic") == 1, "split_by_table")
+    x = t(spark, sf_dir, "labels").withColumn("status_reason", reason).withColumn("status", F.when(reason.isNull(), "ok").otherwise("need_review"))
+    return quality.review_reasons(x)
 
 
 @query("""
-WITH p AS (SELECT o_orderkey AS id, concat_ws(';', CASE WHEN o_totalprice < 10000 THEN 'price' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status' END, CASE WHEN length(o_orderpriority) > 8 THEN 'priority' END, CASE WHEN o_custkey IS NULL THEN 'customer' END) AS problems FROM orders)
-SELECT id, problems FROM p WHERE problems <> ''""")
+WITH p AS (SELECT p_partkey AS id, [x FOR x IN [CASE WHEN p_size % 10 = 0 THEN 'type' END, CASE WHEN p_size % 7 = 0 OR p_size % 10 = 0 THEN 'level' END, CASE WHEN p_size % 9 = 0 OR p_size % 10 = 0 THEN 'node_id' END, CASE WHEN p_size % 5 = 0 THEN 'content empty' END,
+  CASE WHEN p_size % 5 = 1 THEN 'clause short' END, CASE WHEN p_size % 4 = 0 THEN 'pages empty' END, CASE WHEN p_size % 4 = 0 THEN 'pages and bboxes' END, CASE WHEN p_size % 8 = 3 THEN 'bbox' END, CASE WHEN p_size % 3 = 1 THEN 'modality' END,
+  CASE WHEN p_size % 6 = 0 THEN 'status' END, CASE WHEN p_size % 6 = 1 THEN 'no reason' END, CASE WHEN p_size % 6 = 2 THEN 'reason without review' END, CASE WHEN p_size % 11 = 0 THEN 'no source' END] IF x IS NOT NULL] AS problems FROM part)
+SELECT id, array_to_string(problems, ';') AS problems FROM p WHERE len(problems) > 0""")
 def validate_rows(spark, sf_dir):
-    o = t(spark, sf_dir, "orders")
-    rules = [(F.col("o_totalprice") < 10000, "price"), (~F.col("o_orderstatus").isin("O", "F"), "status"), (F.char_length("o_orderpriority") > 8, "priority"), (F.col("o_custkey").isNull(), "customer")]
-    return o.select(F.col("o_orderkey").alias("id"), F.concat_ws(";", *(F.when(r, F.lit(m)) for r, m in rules)).alias("problems")).filter("problems <> ''")
+    """K5, K6 on nodes with planted faults."""
+    at = lambda k, r: F.col("p_size") % k == r
+    empty, box = F.array().cast("array<string>"), F.struct(F.lit(1.0).alias("x0"), F.lit(1.0).alias("top"), F.when(~at(8, 3), 2.0).alias("x1"), F.lit(2.0).alias("bottom"))
+    num = F.col("p_partkey").cast("string")
+    n = t(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.lit("S").alias("standard_id"), F.when(at(10, 0), "odd").otherwise("clause").alias("type"), F.when(at(7, 0), 2).otherwise(3).alias("level"), num.alias("num"), F.concat(F.lit("S:clause:"), num, F.when(at(9, 0), F.lit("x")).otherwise("")).alias("node_id"),
+        F.when(at(5, 0), " ").when(at(5, 1), "太短的条文").otherwise("这一条条文有足够多的文字可以通过检查").alias("content"), F.when(at(4, 0), F.array().cast("array<int>")).otherwise(F.array(F.lit(1))).alias("pages"), F.array(box).alias("bboxes"),
+        F.array().cast("array<struct<target_type:string,target_num:string>>").alias("refs"), F.when(at(3, 1), "或许").when(at(3, 0), "应").alias("modality"), F.when(at(6, 0), "odd").when(at(6, 1), "need_review").otherwise("ok").alias("status"), F.when(at(6, 2), "split_by_table").alias("status_reason"),
+        F.when(at(11, 0), F.array(num)).otherwise(empty).alias("keywords"), F.lit(None).cast("string").alias("keywords_source"), *(empty.alias(c) for c in ("child_ids", "referenced_by", "explains", "explained_by")))
+    return n.select("id", F.array_join(structure.problems(), ";").alias("problems")).filter("problems <> ''")
 
 
 @query("""
@@ -323,31 +348,41 @@ def context_budget(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT d.doc_id, d.doc_id % 60 AS item_id, d.source FROM documents d), m AS (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 60 AND contains(d.text, substr(b.text, 1, 12)))
-SELECT doc_id, item_id, CASE WHEN item_id IN (SELECT item_id FROM benchmark WHERE item_id % 2 = 0) THEN 'cited' WHEN (doc_id, item_id) IN (SELECT doc_id, item_id FROM m) OR item_id IN (SELECT item_id FROM benchmark WHERE item_id % 3 = 0) THEN 'secondary' ELSE 'invalid' END AS verdict FROM c""")
+WITH k AS (SELECT count(*) * 3 // 2 + 1 AS k FROM benchmark), c AS (SELECT doc_id, doc_id % k AS item_id, text FROM documents, k), j AS (SELECT c.*, b.text AS item FROM c LEFT JOIN benchmark b USING (item_id))
+SELECT doc_id, item_id, CASE WHEN item IS NULL THEN 'invalid' WHEN item_id % 2 = 0 THEN 'cited' WHEN contains(text, item) OR item_id % 3 = 0 THEN 'secondary' ELSE 'invalid' END AS verdict FROM j""")
 def citation_verdict(spark, sf_dir):
-    """Documents cite item doc_id mod 60: cited if that is an even item, secondary if a third one or its opening stands in the text."""
+    """Documents cite items, a third of which do not exist: cited if that is an even item, secondary if a third one or if all of its text stands in the document's."""
     d, b = t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark")
+    k = b.agg((F.floor(F.count(F.lit(1)) * 3 / 2) + 1).alias("k"))  # one row
     key = lambda x: x.select(F.col("doc_id").alias("q_id"), F.lit("S").alias("standard_id"), F.lit("clause").alias("type"), F.col("item_id").cast("string").alias("num"))
-    cites = d.withColumn("item_id", F.col("doc_id") % 60)
-    both = cites.join(b.select("item_id", F.substring("text", 1, 12).alias("opening")), "item_id")
-    allowed, named = key(both.filter("item_id % 2 = 0")), key(both.filter(F.contains("text", "opening") | (F.col("item_id") % 3 == 0)))
+    cites = d.join(F.broadcast(k)).withColumn("item_id", F.col("doc_id") % F.col("k")).drop("k")
+    both = cites.join(b.select("item_id", F.col("text").alias("item")), "item_id")
+    allowed, named = key(both.filter("item_id % 2 = 0")), key(both.filter(F.contains("text", "item") | (F.col("item_id") % 3 == 0)))
     out = context.verdicts(key(cites).withColumn("known", F.lit(True)), allowed, named)
     return out.select(F.col("q_id").alias("doc_id"), F.col("num").cast("long").alias("item_id"), "verdict")
 
 
-@query("""SELECT lang, source, count(*) AS n, count(*) FILTER (n_chars >= 1000) AS long, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL""")
+@query("""
+WITH n AS (SELECT lang AS type, CASE WHEN n_chars % 5 = 0 THEN 'cross_page_clause' WHEN n_chars % 7 = 0 THEN 'split_by_table' END AS reason, doc_id % 4 AS refs FROM documents)
+SELECT 'type' AS what, type AS name, count(*) AS n FROM n GROUP BY type UNION ALL SELECT 'review', reason, count(*) FROM n WHERE reason IS NOT NULL GROUP BY reason
+UNION ALL SELECT 'refs', 'all', CAST(sum(refs) AS BIGINT) FROM n UNION ALL SELECT 'refs', 'in_scope', CAST(sum((refs + 1) // 2) AS BIGINT) FROM n""")
 def product_summary(spark, sf_dir):
-    return t(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") >= 1000).alias("long"), F.sum("n_chars").alias("chars"))
+    """K7 on documents as nodes with up to three references, every other one in scope."""
+    d = t(spark, sf_dir, "documents")
+    reason = F.when(F.col("n_chars") % 5 == 0, "cross_page_clause").when(F.col("n_chars") % 7 == 0, "split_by_table")
+    three = F.array(*(F.struct(F.lit(x).alias("in_scope")) for x in (True, False, True)))
+    return structure.summary(d.select(F.col("lang").alias("type"), reason.alias("status_reason"), F.when(reason.isNull(), "ok").otherwise("need_review").alias("status"), F.slice(three, F.lit(1), (F.col("doc_id") % 4).cast("int")).alias("refs")))
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.\n]+\s*')) AS s FROM documents), i AS (SELECT item_id, unnest(regexp_split_to_array(text, '[.\n]+\s*')) AS s FROM benchmark),
-x AS (SELECT item_id, count(DISTINCT s) AS fragments FROM i WHERE length(s) >= 12 GROUP BY 1), h AS (SELECT item_id, count(DISTINCT i.s) AS found FROM i JOIN l ON l.s = i.s WHERE length(i.s) >= 12 GROUP BY 1)
-SELECT item_id, fragments, coalesce(found, 0) AS found FROM x LEFT JOIN h USING (item_id)""")
+@query("""
+WITH c AS (SELECT i, i % 50 AS k, i % 60 AS node, i % 7 = 0 AS enum FROM (SELECT p_partkey AS i FROM part)), e AS (SELECT c.*, n.n_nationkey IS NULL AS lost, CASE WHEN n.n_nationkey IS NULL THEN '' ELSE '间距' || n.n_nationkey || 'mm' END AS held FROM c LEFT JOIN nation n ON n.n_nationkey = node)
+SELECT i AS id, CASE WHEN lost THEN 'n' || node ELSE '' END AS missing, CASE WHEN enum THEN '' ELSE array_to_string([x FOR x IN [k || 'mm', CAST(k AS VARCHAR)] IF NOT contains(held, x)], ',') END AS absent FROM e""")
 def evidence_check(spark, sf_dir):
-    """How many of an item's sentences stand in some document: sentences meet by equality, not by searching every text for every item."""
-    part = lambda d, k: d.select(k, F.explode(F.split("text", r"[.\n]+\s*")).alias("s")).filter(F.char_length("s") >= 12)
-    i = part(t(spark, sf_dir, "benchmark"), "item_id").distinct()
-    found = i.join(part(t(spark, sf_dir, "documents"), "doc_id").select("s"), "s", "left_semi").groupBy("item_id").agg(F.count(F.lit(1)).alias("found"))
-    return i.groupBy("item_id").agg(F.count(F.lit(1)).alias("fragments")).join(found, "item_id", "left").withColumn("found", F.coalesce("found", F.lit(0).cast("long")))
+    """One case for each part, with one piece of evidence."""
+    i = F.col("p_partkey")
+    cases = t(spark, sf_dir, "part").select(i.alias("id"), F.when(i % 7 == 0, "enum").otherwise("fact").alias("type"), F.concat(F.lit("值为"), (i % 50).cast("string"), F.lit("mm")).alias("answer_gold"), F.array(F.concat(F.lit("n"), (i % 60).cast("string"))).alias("evidence"))
+    n = F.col("n_nationkey").cast("string")
+    nodes = t(spark, sf_dir, "nation").select(F.concat(F.lit("n"), n).alias("node_id"), F.concat(F.lit("间距"), n, F.lit(" mm")).alias("content"))
+    return quality.check_cases(cases, nodes).select("id", F.array_join("missing", ",").alias("missing"), F.array_join("absent", ",").alias("absent"))
+
+

@@ -39,9 +39,10 @@ l AS (SELECT round(count(*) / (SELECT n FROM n), 6) AS avgdl FROM w), d AS (SELE
 SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf, avgdl FROM d, n, l""")
 def corpus_stats(spark, sf_dir):
     docs = t(spark, sf_dir, "documents")
-    tf = R.postings(docs, "doc_id", R.latin_words("text"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.size(R.latin_words("text"))), 6).alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats))  # one row
+    tf = R.stored(R.postings(docs, "doc_id", R.latin_words("text")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("words")))
+    total = tf.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words")).join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))  # one row each
+    stats = total.select("n", F.round(F.col("words") / F.col("n"), 6).alias("avgdl"))
+    df = tf.join(F.broadcast(stats))  # one row
     return df.select("term", "df", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"), "avgdl")
 
 
@@ -132,7 +133,7 @@ SELECT source, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 10"""
 def mention_boost(spark, sf_dir):
     docs = t(spark, sf_dir, "documents")
     first = R.top(docs.withColumn("_n", F.col("n_chars").cast("double")), "source", "_n", "doc_id", 30).select("source", "doc_id", "rank")
-    named = docs.filter(F.col("text").rlike(r"[0-9]+\.[0-9]+\.[0-9]+")).select("source", "doc_id", F.lit(0.05).alias("boost"))
+    named = docs.filter(F.size(T.mentions("text")) > 0).select("source", "doc_id", F.lit(0.05).alias("boost"))
     out = R.fuse(first, first.limit(0), "source", "doc_id", 10, boost=named)
     return out.select("source", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -177,13 +178,13 @@ def row_flatten(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT d.doc_id, p.page_id, regexp_replace(lower(regexp_extract(p.html, '<title>([^<]*)</title>', 1)), '[^0-9a-z]', '', 'g') AS a, regexp_replace(lower(substr(d.text, 1, 400)), '[^0-9a-z]', '', 'g') AS b
+WITH d AS (SELECT d.doc_id, p.page_id, regexp_replace(lower(regexp_extract(p.html, '<title>([^<]*)</title>', 1)), '[^0-9a-z]', '', 'g') AS a, regexp_replace(lower(d.text), '[^0-9a-z]', '', 'g') AS b
   FROM pages p JOIN documents d ON d.doc_id = p.page_id),
 g AS (SELECT page_id, CASE WHEN length(a) < 2 THEN [] ELSE list_distinct([substr(a, CAST(i AS INTEGER), 2) FOR i IN range(1, length(a))]) END AS x,
              CASE WHEN length(b) < 2 THEN [] ELSE list_distinct([substr(b, CAST(i AS INTEGER), 2) FOR i IN range(1, length(b))]) END AS y FROM d)
 SELECT page_id, CAST(len(list_intersect(x, y)) AS INTEGER) AS overlap, CAST(len(x) AS INTEGER) AS title_grams FROM g""")
 def title_overlap(spark, sf_dir):
     p = t(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
-    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lower(F.substring("text", 1, 400)).alias("text"))
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lower("text").alias("text"))
     x, y = T.bigrams("title", "[^0-9a-z]"), T.bigrams("text", "[^0-9a-z]")
     return p.join(d, "page_id").select("page_id", F.size(F.array_intersect(x, y)).alias("overlap"), F.size(x).alias("title_grams"))
