@@ -147,3 +147,17 @@ def test_closure_like_rounds(spark):
         h = spark.createDataFrame([(1, n, i + 1, t) for i, (n, t) in enumerate(hits)], "q_id long, id string, rank int, type string")
         got = graph.closure(h, spark.createDataFrame(edges, "src string, dst string, type string"), spark.createDataFrame(list(types.items()), "id string, type string"), ["clause", "table", "appendix"])
         assert sorted((x["id"], x["via"]) for x in got.collect()) == sorted(want)
+
+
+def test_assessment(spark, nodes):
+    from loamstack.plans.assess import assess, render
+
+    pages = spark.createDataFrame([(12, "5.1.1 立杆\n5.1.2 稳定性"), (14, "5.2.1 严禁\n5.2.2 漏切的条文\n5.1.1条引用")], "page int, text string")
+    r = assess(nodes, pages)
+    assert (r["nodes"], r["types"]["clause"], r["types"]["item"], r["invalid"], r["sections"], r["gaps"]) == (17, 4, 3, 0, 3, 0)
+    assert r["reviews"] == {"cross_page_clause": 2, "split_by_table": 1, "formula_linear_only": 1} and r["source"] == {"clauses": 4, "missing": 1, "extra": 0}
+    assert (r["dangling"], r["dangling_first"]) == (1, [("S:clause:5.1.2", "图6.2.4")]) and r["refs"] == {"refs": 7, "inside": 5, "outside": 2}
+    assert r["score"] == round(40 * 0.75 + 25 + 15 * 5 / 7 + 20, 1) and r["missing_first"] == [("5.2.2",)]
+    assert "综合分" in render(r, "解析质量") and "5.2.2" in render(r, "解析质量")
+    gap = assess(nodes.filter("node_id <> 'S:clause:5.1.1'"))
+    assert gap["gaps"] == 1 and gap["gaps_first"][0][:3] == ("S", "5.1", [1]) and "source" not in gap
