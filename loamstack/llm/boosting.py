@@ -12,7 +12,8 @@ class BoostedTrees:
         self.rounds, self.depth, self.rate, self.leaf, self.l2 = rounds, depth, rate, leaf, l2
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 32))) for j in range(x.shape[1])]
+        values = [np.unique(x[:, j]) for j in range(x.shape[1])]  # where there are few, each has its bin, however rare
+        self.edges = [v if len(v) <= 32 else np.unique(np.quantile(x[:, j], np.linspace(0, 1, 32))) for j, v in enumerate(values)]
         b = self._binned(x)
         rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(rate / (1 - rate)))

@@ -194,6 +194,12 @@ def test_pii_in_runs():
     lines = ["x 7536784127813050 4845168114407329 y", "x 4111111111111111 12 y", "x +1 (826) 555-4081 190.137.223.204 y", "x 4111-1111-1111-1111 5500-0000-0000-0004 y", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", "2019 2020 2021 2022 2023 2024"]
     got = [[(t[s:e], k) for s, e, k in spans] for t, (_, spans) in zip(lines, pii.all_spans(lines, trees, cuts), strict=True)]
     assert got == [[("7536784127813050", "card"), ("4845168114407329", "card")], [("4111111111111111", "card")], [("+1 (826) 555-4081", "phone"), ("190.137.223.204", "ip")], [("4111-1111-1111-1111", "card"), ("5500-0000-0000-0004", "card")], [], []]
+    r = random.Random(5)
+    for n in (2, 3, 4):  # cards in groups of four, one space apart
+        numbers = [next(x for x in ("".join(r.choice("0123456789") for _ in range(16)) for _ in range(10**4)) if pii.luhn(x)) for _ in range(n)]
+        cards = [" ".join(x[i : i + 4] for i in range(0, 16, 4)) for x in numbers]
+        (_, spans), text = next(iter(pii.all_spans(["x " + " ".join(cards) + " y"], trees, cuts))), "x " + " ".join(cards) + " y"
+        assert [text[s:e] for s, e, _ in spans] == cards
     run = "12 345 678 9012 3456 7890"
     want = {(a, b) for a in (0, 3, 7, 11, 16, 21) for b in (2, 6, 10, 15, 20, 25) if a < b and 7 <= sum(c.isdigit() for c in run[a:b]) <= 19}
     assert {(s, e) for s, e, _ in pii.candidates(run)} == want
