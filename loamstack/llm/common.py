@@ -129,19 +129,23 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph: (id, root), root the least id reachable; vertices without edges are absent.
 
     Least labels go to neighbours and are then followed twice (pointer jumping), so the rounds grow with the
-    logarithm of a component's diameter. Each round's labels are written to the shared folder.
+    logarithm of a component's diameter. Each round's labels are written to the shared folder. Vertices with many
+    neighbours and roots of many vertices are hot keys of these joins.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     both = materialise(pairs.union(pairs.select("v", "u")).distinct(), "edges")
-    labels = both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("id")).alias("root"))
+    labels = both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("id")).alias("root"), F.count(F.lit(1)).alias("degree"))
     labels = materialise(labels, "labels")
+    ends, ids = both.count(), labels.count()
     while True:
-        near = both.join(labels.select(F.col("id").alias("v"), "root"), "v").groupBy(F.col("u").alias("id")).agg(F.min("root").alias("low"))
-        step = labels.join(near, "id").select("id", F.least("root", "low").alias("root"))
-        up = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        step = materialise(step.join(up, "root").select("id", F.col("up").alias("root")), "labels")
+        near = join_counted(both, labels.select(F.col("id").alias("v"), "root", "degree"), ["v"], "degree", ends)
+        near = near.groupBy(F.col("u").alias("id")).agg(F.min("root").alias("low"))
+        step = materialise(labels.join(near, "id").select("id", F.least("root", "low").alias("root"), "degree"), "labels")
+        up = step.groupBy("root").agg(F.count(F.lit(1)).alias("size")).join(step.select(F.col("id").alias("root"), F.col("root").alias("up")), "root")
+        step = join_counted(step, materialise(up, "roots"), ["root"], "size", ids).select("id", F.col("up").alias("root"), "degree")
+        step = materialise(step, "labels")
         old = labels.select("id", F.col("root").alias("was"))
         moved = step.join(old, "id").filter("root <> was").limit(1).count()
         labels = step
         if not moved:
-            return labels
+            return labels.drop("degree")

@@ -293,3 +293,12 @@ def test_benchmark_stage_like_brute_force(spark):
     items = [cut(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {r["doc_id"] for r in docs.collect() if not any(len(x) >= 5 and brute_overlap(cut(r["text"]), x) for x in items)}
     assert {r["doc_id"] for r in corpus_pipeline.benchmark_overlaps(spark, docs, SF).select("doc_id").collect()} == want
+
+
+@pytest.mark.parametrize("share", [5, 1000])
+def test_components_with_hubs(spark, monkeypatch, share):
+    """A star, a long path, a clique and loose pairs, with and without hot keys."""
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    edges = [(5000, i) for i in range(4000, 4300)] + [(i, i + 1) for i in range(100, 170)] + [(i, j) for i in range(10) for j in range(i)] + [(9000, 9001), (9001, 9000), (9002, 9002)]
+    got = {r["id"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {**{i: 4000 for i in [5000, *range(4000, 4300)]}, **{i: 100 for i in range(100, 171)}, **{i: 0 for i in range(10)}, 9000: 9000, 9001: 9000}
