@@ -133,7 +133,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     neighbours and roots of many vertices are hot keys of these joins.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    both = materialise(pairs.union(pairs.select("v", "u")).distinct(), "edges")
+    there, back = F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+    both = materialise(pairs.select(F.inline(F.array(there, back))).distinct(), "edges")  # a union would make the edges twice
     labels = both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("id")).alias("root"), F.count(F.lit(1)).alias("degree"))
     labels = materialise(labels, "labels")
     ends, ids = both.count(), labels.count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,11 @@ from .common import components, giving_back, id_bitmap, in_bitmap, join_counted,
 GROUPS, LEAF, FAN = 16, 16, 16
 #: Shingles that one bucket counts, about, and bytes of sets in one side of a tile.
 BUCKET_TOKENS, TILE_BYTES = 250_000, 24 << 20
+#: Least and greatest number of cells of a set's counts. Classes of one side of a tile where counts meet; groups up to so many are compared
+#: at once, larger ones by a tree.
+CELLS, TILE_COUNTS, AT_ONCE = (16, 4096), 4096, 64
+#: Shingles of fewer classes than 2 to this power are grouped by the list of their classes.
+FEW = 5
 
 
 @dataclass(frozen=True)
@@ -108,22 +113,65 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a)) if len(b) else 0
 
 
-def spanning_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
-    """Links that connect just what all links connect. A member is checked against those not yet reached: pairs that are
-    connected already need no check, so a group of copies costs about one check a member."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    points = np.stack([np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
-    tree, alive, out = CountTree(points, sizes, rule), np.ones(len(sets), bool), []
-    for seed in range(len(sets)):
+def spanning(n: int, near: Callable[[int, np.ndarray], list[int]]) -> list[tuple[int, int]]:
+    """Pairs that connect just what all pairs connect; `near` gives a member's partners among those not yet reached."""
+    alive, out = np.ones(n, bool), []
+    for seed in range(n):
         front = [seed] if alive[seed] else []
         alive[front] = False
         while front:
             i = front.pop()
-            for j in tree.near(i, alive).tolist():
-                if rule.linked(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j])):
-                    alive[j] = False
-                    out.append((i, j))
-                    front.append(j)
+            found = near(i, alive)
+            alive[found] = False
+            out += [(i, j) for j in found]
+            front += found
+    return out
+
+
+def spanning_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
+    """Links that connect just what all links connect. A member is checked against those not yet reached: pairs that are
+    connected already need no check, so a group of copies costs about one check a member."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tree = CountTree(np.stack([np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]), sizes, rule)
+    linked = lambda i, j: rule.linked(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j]))
+    return spanning(len(sets), lambda i, alive: [j for j in tree.near(i, alive).tolist() if linked(i, j)])
+
+
+def cell_counts(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each cell by their last bits; a power of two of cells, one for some 8 to 16 shingles."""
+    cells = min(CELLS[1], max(CELLS[0], 1 << (len(s) // 16).bit_length()))
+    return np.bincount((s & U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint16 if len(s) < 65536 else np.uint32)
+
+
+def folded(counts: np.ndarray, cells: int) -> np.ndarray:
+    """The same counts over fewer cells."""
+    return counts.reshape(-1, cells).sum(axis=0, dtype=np.int64)
+
+
+def spanning_candidates(counts: list[np.ndarray], sizes: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """Pairs that connect just what all pairs connect whose counts leave room for a link: the sum of the minima of their cells,
+    over as many cells as both have, bounds the overlap."""
+    order, out = np.argsort(sizes, kind="stable"), []
+    n = sizes[order]
+    gaps = (np.flatnonzero(rule.den * n[:-1] < rule.num * n[1:]) + 1).tolist()  # no link over such a step of sizes
+    for a, e in zip([0, *gaps], [*gaps, len(n)], strict=True):
+        if e - a < 2:
+            continue
+        own, size = [counts[i] for i in order[a:e]], n[a:e]
+        cells = len(own[0])
+        points = np.stack([folded(c, cells) for c in own])
+        if e - a <= AT_ONCE:
+            room = np.stack([np.minimum(points, p).sum(axis=1) >= rule.needed(int(x), size) for p, x in zip(points, size, strict=True)])
+            first = lambda i, alive, room=room: np.flatnonzero(room[i] & alive).tolist()
+        else:
+            first = lambda i, alive, tree=CountTree(points, size, rule): tree.near(i, alive).tolist()
+
+        def fits(i: int, j: int, own=own, size=size, cells=cells) -> bool:
+            both = min(len(own[i]), len(own[j]))
+            return both == cells or np.minimum(folded(own[i], both), folded(own[j], both)).sum() >= rule.needed(int(size[i]), size[j])
+
+        found = spanning(e - a, lambda i, alive, first=first, fits=fits: [j for j in first(i, alive) if fits(i, j)])
+        out += [(int(order[a + i]), int(order[a + j])) for i, j in found]
     return out
 
 
@@ -136,7 +184,7 @@ def class_key(s: np.ndarray) -> tuple[int, int]:
 
 def _sketches(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
     """For each row: set size, class key (equal sets, equal keys), prefix length, watched shingles and, where they are fewer than
-    the prefix, further shingles in hash order."""
+    the prefix, further shingles in hash order; counts of all shingles by cell."""
     src = small_batches(df).select(df[id_col].cast("long"), df[text_col])
     watched = U(rule.watched)
 
@@ -149,12 +197,12 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFram
                     w = s[(s & U(0xFFFF)) < watched]
                     p = rule.prefix(len(s)) if len(s) else 0
                     more = s[(s & U(0xFFFF)) >= watched][: p - len(w)] if len(w) < p else s[:0]
-                    rows.append((len(s), *class_key(s), p, len(w), w.tobytes(), more.tobytes()))
+                    rows.append((len(s), *class_key(s), p, len(w), w.tobytes(), more.tobytes(), cell_counts(s).tobytes()))
                 cols = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", "n", "key", "key2", "p", "nw", "watched", "more"])
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", "n", "key", "key2", "p", "nw", "watched", "more", "counts"])
 
-    return src.mapInArrow(giving_back(sketch), "id long, n long, key long, key2 long, p int, nw int, watched binary, more binary")
+    return src.mapInArrow(giving_back(sketch), "id long, n long, key long, key2 long, p int, nw int, watched binary, more binary, counts binary")
 
 
 #: Of a shingle's hash its first 56 bits travel, of a class's key 48. Hashes or keys that agree so far by chance count as equal there,
@@ -253,7 +301,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
     """(id, n_shingles, component_id): component_id is the least id reachable by links.
 
     Equal sets, by keys of 128 bits, are one class. Classes that can link share a shingle among their rarest (a prefix in the order: watched
-    shingles by frequency, then the others by hash), so components of that sharing are blocks that lose no link (classes whose short keys agree by chance share a block). In a
+    shingles by frequency, then the others by hash). Where classes share one, their sizes and counts by cell tell which pairs have no
+    room for a link; components of the others are blocks that lose no link (classes whose short keys agree by chance share a block).
+    Without that, sharing by accident joins more of a larger table into one block, until most of it is. In a
     block the R-tree proposes and exact intersections decide; a large block is cut into parts, and every two parts meet
     in a task. Null and empty texts have no shingles and no links. Ids may repeat, also with other texts, and then share
     components; rows with a null id link nothing and have a null component. An empty table gives an empty result.
@@ -261,7 +311,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
     s = materialise(_sketches(df, id_col, text_col, rule), "sketches")
     full = s.filter("n > 0 AND id IS NOT NULL")
     both = ["key", "key2"]
-    classes = materialise(full.groupBy(*both).agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("p").alias("p"), F.min("nw").alias("nw"), F.count(F.lit(1)).alias("copies"), F.min("more").alias("more")), "classes")
+    classes = materialise(full.groupBy(*both).agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("p").alias("p"), F.min("nw").alias("nw"), F.count(F.lit(1)).alias("copies"), F.min("more").alias("more"), F.min("counts").alias("counts")), "classes")
     tokens = s.agg(F.coalesce(F.sum("nw"), F.lit(0))).first()[0]
     shared = _shared_tokens(full, tokens).groupBy("key").agg(F.sort_array(F.collect_list("rank")).alias("shared"))  # a set's own shingles
     short = F.col("key").bitwiseAND(F.lit(_SHORT_KEY))
@@ -270,9 +320,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
     rare = rare.withColumn("want", F.when(F.col("shared").isNull(), F.lit(0)).otherwise(F.greatest(want, F.lit(0)))).filter("want > 0 OR more IS NOT NULL")
     known = rare.filter("want > 0").select("key", F.explode(F.slice("shared", F.lit(1), F.col("want"))).alias("token"))
     unknown = rare.filter("more IS NOT NULL").select("key", "more").mapInArrow(giving_back(_unpack), "key long, token long")
-    at = materialise(known.unionByName(unknown), "rare-shingles")
-    hubs = at.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("other")).filter("hub <> other").drop("other")
-    blocks = components(at.join(hubs, "token").select("key", "hub"), "key", "hub")
+    known = known.withColumn("few", F.shiftright("token", 56) < FEW)  # a rank begins with the logarithm of the frequency
+    at = materialise(known.unionByName(unknown.withColumn("few", F.lit(False))), "rare-shingles")
+    blocks = components(_candidates(at, classes.select(short.alias("key"), "n", "counts"), rule), "a", "b")
     members = materialise(classes.join(blocks, short == blocks["id"]).select("rep", *both, "n", F.col("root").alias("block")), "members")
     sized = members.groupBy("block").agg(F.ceil(F.sum(F.col("n") * 8) / TILE_BYTES).cast("int").alias("parts"))
     members = members.join(sized, "block").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -288,8 +338,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
                 yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(blobs, pa.binary())], names=["block", "parts", "part", "rep", *both, "blob"])
 
     sets = sets.mapInArrow(giving_back(to_sets), "block long, parts int, part int, rep long, key long, key2 long, blob binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    tiles = sets.withColumn("other", other).select("block", F.least("part", "other").alias("ti"), F.greatest("part", "other").alias("tj"), "rep", *both, "blob")
+    tiles = _tiles(sets).select("block", "ti", "tj", "rep", *both, "blob")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(group: dict[tuple[int, int], tuple[int, np.ndarray]]) -> pa.RecordBatch:
@@ -320,6 +369,53 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
     return out.withColumnRenamed("id", id_col)
 
 
+def _tiles(df: DataFrame) -> DataFrame:
+    """Each row of a block's part once for each of the block's parts: every two parts, and each with itself, are a tile (ti, tj)."""
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return df.withColumns({"ti": F.least("part", "other"), "tj": F.greatest("part", "other")})
+
+
+def _candidates(at: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): keys of classes that share a rare shingle and have room for a link, as many as connect all of them. Few classes
+    often share many shingles, so each list of classes is looked at once; shingles of many classes are looked at one by one."""
+    lists = at.filter("few").groupBy("token").agg(F.sort_array(F.collect_set("key")).alias("keys")).filter(F.size("keys") > 1)  # under 2 ** FEW keys
+    lists = lists.groupBy("keys").agg(F.min("token").alias("block")).select("block", F.explode("keys").alias("key"), F.lit(1).alias("parts"))
+    many = at.filter("NOT few").select(F.col("token").alias("block"), "key")
+    sized = many.groupBy("block").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    many = many.join(sized, "block").select("block", "key", F.ceil(F.col("size") / TILE_COUNTS).cast("int").alias("parts"))
+    met = lists.unionByName(many).join(classes, "key").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = _tiles(met).select("block", "ti", "tj", "key", "n", "counts").repartition("block", "ti", "tj").sortWithinPartitions("block", "ti", "tj", "key")
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+
+        def close(group: list[tuple[int, int, bytes]]) -> None:
+            keys, sizes = [k for k, _, _ in group], np.array([n for _, n, _ in group], np.int64)
+            counts = [np.frombuffer(c, np.uint16 if n < 65536 else np.uint32) for _, n, c in group]
+            found.extend((keys[i], keys[j]) for i, j in spanning_candidates(counts, sizes, rule))
+
+        def flush() -> pa.RecordBatch:
+            pairs = np.unique(np.array([(min(x), max(x)) for x in found], np.int64).reshape(-1, 2), axis=0)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+        now, group = None, []
+        for b in batches:
+            for block, ti, tj, key, n, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (block, ti, tj) != now:
+                    if len(group) > 1:
+                        close(group)
+                    now, group = (block, ti, tj), []
+                    if len(found) >= 50_000:
+                        yield flush()
+                group.append((key, n, counts))
+        if len(group) > 1:
+            close(group)
+        yield flush()
+
+    return dealt.mapInArrow(giving_back(propose), "a long, b long")
+
+
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         parts = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]

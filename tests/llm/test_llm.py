@@ -270,6 +270,46 @@ def test_count_tree_loses_nothing():
     assert got == root
 
 
+@pytest.mark.parametrize("at_once", [0, 64])
+def test_counts_lose_nothing(monkeypatch, at_once):
+    monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
+    r = np.random.default_rng(3)
+    rule = jaccard.Rule(4, 85, 100)
+    sets = []
+    for n in (3, 30, 250, 700):  # from 16 to 64 cells
+        base = r.integers(0, 2**63, n).astype(np.uint64)
+        for _ in range(40):
+            keep = base[r.random(n) < r.uniform(0.7, 1)]
+            sets.append(np.unique(np.concatenate((keep if len(keep) else base[:1], r.integers(0, 2**63, r.integers(0, 1 + n // 8)).astype(np.uint64)))))
+    sets = [sets[i] for i in r.permutation(len(sets))]
+    root = list(range(len(sets)))
+    for i, j in jaccard.spanning_candidates([jaccard.cell_counts(s) for s in sets], np.array([len(s) for s in sets]), rule):
+        a, b = root[i], root[j]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if rule.linked(jaccard.overlap(sets[i], sets[j]), len(sets[i]), len(sets[j]))]
+    assert len(linked) > 300 and all(root[i] == root[j] for i, j in linked)
+    assert len(set(root)) > 10  # and tells others apart
+
+
+@pytest.mark.parametrize("few", [5, 0])
+def test_jaccard_sharing_by_accident(spark, monkeypatch, few):
+    """Texts that share a passage with the next, or a line with many others, are no block; near copies among them are."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "TILE_COUNTS", 20)
+    stored, write = {}, jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, what: stored.setdefault(what, write(df, what)))
+    r = random.Random(4)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passages, line = [words(6) for _ in range(61)], words(12)
+    rows = [(i, " ".join([*passages[i], *words(40), *passages[i + 1]])) for i in range(60)]
+    rows += [(100 + i, " ".join([*words(14), *line])) for i in range(60)]
+    rows += [(200 + i, text + " end") for i, text in rows[:3] + rows[60:63]]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", jaccard.Rule(4, 85, 100)).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_components(rows, jaccard.Rule(4, 85, 100))
+    sizes = [x["count"] for x in stored["members"].groupBy("block").count().collect()]
+    assert sizes == [2] * 6
+
+
 def test_word_ids(texts):
     words = packing.WordIds(queries.tokenizer_path())
     all_texts = [*texts.values(), "Hello  World's <|endoftext|> é ２３\tab12,!!? don't'LL 日本  x\x1cy\x85ź á ΣΑΣ İ", "", "  ", "ÀÉ×ßÿ a1B2;;c_d-e", "x ªb µm", "A_b\x0c12é"]
