@@ -113,6 +113,38 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a)) if len(b) else 0
 
 
+class Overlaps:
+    """Sizes of intersections of one set with many others. Shingles that an eighth of the sets hold are bits of a row for each set, others
+    that several hold have lists of their sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        tokens, who = tokens[order], who[order]
+        first = np.concatenate((np.ones(min(1, len(tokens)), bool), tokens[1:] != tokens[:-1]))
+        at = np.flatnonzero(np.concatenate((first, [True])))
+        held, of = np.diff(at), np.cumsum(first) - 1
+        dense = held >= max(2, len(sets) / 8)
+        mine = dense[of]
+        bit = (np.cumsum(dense) - 1)[of[mine]]
+        self.bits = np.zeros((len(sets), int(dense.sum()) // 64 + 1), np.uint64)
+        np.bitwise_or.at(self.bits, (who[mine], bit >> 6), U(1) << (bit & 63).astype(np.uint64))
+        self.who, rare = who, (held[of] > 1) & ~mine
+        owner = np.argsort(who[rare], kind="stable")
+        self.lists, self.start, self.held = of[rare][owner], at, held
+        self.own = np.searchsorted(who[rare][owner], np.arange(len(sets) + 1))
+
+    def of(self, i: int, js: np.ndarray) -> np.ndarray:
+        both = np.bitwise_count(self.bits[js] & self.bits[i]).sum(axis=1, dtype=np.int64)
+        lists = self.lists[self.own[i] : self.own[i + 1]]
+        if len(lists):
+            n = self.held[lists]
+            at = np.repeat(self.start[lists] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both += np.bincount(self.who[at], minlength=len(self.bits))[js]
+        return both
+
+
 def spanning(n: int, near: Callable[[int, np.ndarray], list[int]]) -> list[tuple[int, int]]:
     """Pairs that connect just what all pairs connect; `near` gives a member's partners among those not yet reached."""
     alive, out = np.ones(n, bool), []
@@ -133,8 +165,13 @@ def spanning_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
     connected already need no check, so a group of copies costs about one check a member."""
     sizes = np.array([len(s) for s in sets], np.int64)
     tree = CountTree(np.stack([np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]), sizes, rule)
-    linked = lambda i, j: rule.linked(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j]))
-    return spanning(len(sets), lambda i, alive: [j for j in tree.near(i, alive).tolist() if linked(i, j)])
+    overlaps = Overlaps(sets)
+
+    def near(i: int, alive: np.ndarray) -> list[int]:
+        js = tree.near(i, alive)
+        return js[overlaps.of(i, js) >= rule.needed(len(sets[i]), sizes[js])].tolist()
+
+    return spanning(len(sets), near)
 
 
 def cell_counts(s: np.ndarray) -> np.ndarray:

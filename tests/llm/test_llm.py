@@ -270,6 +270,31 @@ def test_count_tree_loses_nothing():
     assert got == root
 
 
+def test_overlaps():
+    r = np.random.default_rng(6)
+    common = r.integers(0, 2**63, 500).astype(np.uint64)
+    sets = [np.unique(np.concatenate((r.choice(common[:n], r.integers(0, 2 * n)), r.integers(0, 2**63, 5).astype(np.uint64)))) for n in r.integers(1, 500, 90)]
+    sets += [np.empty(0, np.uint64), sets[3]]
+    for some in (sets, sets[:2], sets[-2:], sets[-2:-1]):
+        overlaps = jaccard.Overlaps(some)
+        for i, s in enumerate(some):
+            js = np.delete(np.arange(len(some)), i)[::-1]
+            assert overlaps.of(i, js).tolist() == [jaccard.overlap(s, some[j]) for j in js]
+
+
+def test_a_large_group_of_near_copies_takes_no_check_a_pair(monkeypatch):
+    """Many members of such a group link with few others; each is held against all others at once."""
+    calls, one = [], jaccard.overlap
+    monkeypatch.setattr(jaccard, "overlap", lambda a, b: calls.append(1) or one(a, b))
+    r = np.random.default_rng(7)
+    base = r.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.where(r.random(400) < r.uniform(0, 0.2), r.integers(0, 2**63, 400).astype(np.uint64), base)) for _ in range(300)]
+    rule = jaccard.Rule(4, 85, 100)
+    found = jaccard.spanning_links(sets, rule)
+    assert all(rule.linked(one(sets[i], sets[j]), len(sets[i]), len(sets[j])) for i, j in found) and 20 < len(found) < 280
+    assert len(calls) < 10 * len(sets)
+
+
 @pytest.mark.parametrize("at_once", [0, 64])
 def test_counts_lose_nothing(monkeypatch, at_once):
     monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
