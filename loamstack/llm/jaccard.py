@@ -429,10 +429,15 @@ def _candidates(at: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
         def close(group: list[tuple[int, int, bytes]]) -> None:
             keys, sizes = [k for k, _, _ in group], np.array([n for _, n, _ in group], np.int64)
             counts = [np.frombuffer(c, np.uint16 if n < 65536 else np.uint32) for _, n, c in group]
-            found.extend((keys[i], keys[j]) for i, j in spanning_candidates(counts, sizes, rule))
+            root, least = {}, {}
+            for i, j in spanning_candidates(counts, sizes, rule):  # i is reached before j
+                root[j] = root.setdefault(i, i)
+            for i, r in root.items():
+                least[r] = min(least.get(r, keys[i]), keys[i])
+            found.extend((least[r], keys[i]) for i, r in root.items())  # to the least key, so that many shingles of one group give the same pairs
 
         def flush() -> pa.RecordBatch:
-            pairs = np.unique(np.array([(min(x), max(x)) for x in found], np.int64).reshape(-1, 2), axis=0)
+            pairs = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
