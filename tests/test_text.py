@@ -1,5 +1,7 @@
 """Text functions on literals."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +56,13 @@ def test_labels_and_prompt(spark):
     d = spark.createDataFrame([("clause", "A.0.1"), ("clause", "5.1.1"), ("table", "3"), ("section", "5.1")], "type string, num string")
     assert [r[0] for r in d.select(X.label("type", "num")).collect()] == ["附录A.0.1", "第5.1.1条", "表3", "第5.1节"]
     assert "标准号" in X.system_prompt([("a", "b"), ("c", "d")]) and "标准号" not in X.system_prompt([("a", "b")])
+
+
+def test_bigrams_are_linear_and_whole(spark):
+    for given, keep in (("a\n中𝒳b𝒳b", "(?!)"), ("aB-1a B", "[^0-9A-Za-z]"), ("x", "(?!)"), ("", "(?!)")):
+        kept = given.replace("-", "").replace(" ", "") if keep != "(?!)" else given
+        assert one(spark, lambda x, keep=keep: X.bigrams(x, keep), given) == list(dict.fromkeys(a + b for a, b in zip(kept, kept[1:], strict=False)))
+    d = spark.range(1).select(F.concat(F.repeat(F.lit("ab9"), 200_000), F.lit("é")).alias("c"))  # by substring() at each place this takes minutes
+    began = time.time()
+    assert d.select(X.title_overlap(F.lit("9ab"), "c")).first()[0] == 2
+    assert time.time() - began < 30
