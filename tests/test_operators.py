@@ -1,9 +1,10 @@
 """Operators on literals: tables, structure, graph, context, citations, layout, sources and the engine."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loamstack.functions import text as X
-from loamstack.operators import context, graph, layout, quality, structure, tables
+from loamstack.operators import context, graph, layout, quality, ranking, structure, tables
 from loamstack.plans.engine import Engine, badges, boxes_by_page, compare_rankings
 from loamstack.sources import embedders, io, services
 from loamstack.streaming import answers
@@ -264,3 +265,35 @@ def test_streamed_pieces():
     lines = [b'data: {"choices": [{"delta": {"reasoning_content": "r"}}]}', b"", b"data: {bad", b'data: {"choices": [{"delta": {"content": "c"}}]}', b"data: [DONE]", b'data: {"choices": [{"delta": {"content": "x"}}]}']
     assert list(services.pieces(iter(lines))) == [("reasoning", "r"), ("content", "c")]
     assert not services.reachable("http://127.0.0.1:9", 0.2)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("n_queries", "block", "at_once"), [(7, 16_384, 1 << 21), (7, 3, 5), (600, 16_384, 50)])
+def test_bm25_like_brute_force(spark, monkeypatch, n_queries, block, at_once):
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", block)
+    monkeypatch.setattr(ranking, "AT_ONCE", at_once)
+    r = random.Random(n_queries)
+    say = lambda n: " ".join(r.choice("abcdefghij") + r.choice("xyz") for _ in range(n))
+    texts = [(i % 35 if i % 7 else i, say(r.randrange(12))) for i in range(60)] + [(100, None), (101, "")]  # some keys stand twice
+    asked = [(i, say(r.randrange(6))) for i in range(n_queries)] + [(n_queries, "nowhere"), (n_queries + 1, "")]
+    docs = spark.createDataFrame(texts, "d long, text string").repartition(3)
+    q = spark.createDataFrame(asked, "q long, text string")
+    got = ranking.bm25(docs, q, "d", "q", ranking.latin_words("text"), ranking.latin_words("text"), 4)
+    assert "HashAggregate" not in plan(got)  # the sums of all pairs of document and query are never held
+    tf = defaultdict(Counter)
+    for d, text in texts:
+        tf[d].update((text or "").split())
+    dl = {d: c.total() for d, c in tf.items()}
+    df, mean, want = Counter(w for c in tf.values() for w in c), sum(dl.values()) / len(texts), []
+    for i, text in asked:
+        s = {d: sum(math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * dl[d] / mean)) for w in text.split() if c[w]) for d, c in tf.items()}
+        best = sorted((-round(v, 6), d) for d, v in s.items() if v > 0)[:4]
+        want += [(i, d, at + 1) for at, (_, d) in enumerate(best)]
+    assert sorted((x["q"], x["d"], x["rank"]) for x in got.collect()) == sorted(want)
