@@ -117,8 +117,8 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6
 @query(HYBRID + "SELECT item_id, doc_id, bm25_rank, vector_rank, round(score, 6) AS score, rank FROM fr WHERE rank <= 10")
 def hybrid_rrf(spark, sf_dir):
     words = R.latin_words("text")
-    docs = R.dense(R.hashed(t(spark, sf_dir, "documents"), "doc_id", words), "doc_id")
-    asked = R.dense(R.hashed(t(spark, sf_dir, "benchmark"), "item_id", words), "item_id")
+    docs = R.hashed_vectors(t(spark, sf_dir, "documents"), "doc_id", words)
+    asked = R.hashed_vectors(t(spark, sf_dir, "benchmark"), "item_id", words)
     vectors = R.nearest(docs, asked, "doc_id", "item_id", "vector", 30, at="at", dims=512).filter("score > 0")
     out = R.fuse(_bm25(spark, sf_dir, 30), vectors, "item_id", "doc_id", 10)
     long = lambda c, n: F.col(c).cast("long").alias(n)

@@ -297,3 +297,21 @@ def test_bm25_like_brute_force(spark, monkeypatch, n_queries, block, at_once):
         best = sorted((-round(v, 6), d) for d, v in s.items() if v > 0)[:4]
         want += [(i, d, at + 1) for at, (_, d) in enumerate(best)]
     assert sorted((x["q"], x["d"], x["rank"]) for x in got.collect()) == sorted(want)
+
+
+def test_hashed_vectors_like_brute_force(spark, monkeypatch):
+    import hashlib
+    from collections import Counter, defaultdict
+
+    monkeypatch.setattr(ranking, "AT_ONCE", 3)
+    texts = [(i % 5, " ".join("ab cd ef ab gh é".split()[: i % 7])) for i in range(9)] + [(20, ""), (21, None), (22, "zz zz ab")]
+    docs = spark.createDataFrame(texts, "d long, text string").repartition(2)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")
+    want = defaultdict(Counter)
+    for d, text in texts:
+        want[d].update(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16 for w in (text or "").split())
+    want = {(d, b): n / sum(m * m for m in c.values()) ** 0.5 for d, c in want.items() for b, n in c.items()}
+    assert {(x["d"], x["bucket"]): x["value"] for x in ranking.hashed(docs, "d", words, 16).collect()} == pytest.approx(want)
+    one = ranking.hashed_vectors(docs.filter("d > 10"), "d", words, 16)
+    assert "hashpartitioning" not in plan(one) and "HashAggregate" not in plan(one)  # a text is counted where it is read
+    assert [(x["d"], sorted(x["vector"])) for x in one.collect()] == [(22, pytest.approx([5**-0.5, 2 * 5**-0.5]))]
